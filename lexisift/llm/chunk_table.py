@@ -24,9 +24,12 @@ UNSPACED = re.compile(f"[^{SPACES}]+")
 
 
 class ChunkTable:
-    """Chunks by code; the ids of code c are flat[start[c] : start[c] + count[c]]."""
+    """Chunks by code; the ids of code c are flat[start[c] : start[c] + count[c]].
 
-    def __init__(self, tokenise: Callable[[list[str]], list[list[int]]], limit: int = 300_000):
+    tokenise gives each chunk's ids as the bytes of unsigned 32-bit integers, which Python's garbage collector need not visit.
+    """
+
+    def __init__(self, tokenise: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.tokenise, self.limit = tokenise, limit
         self.clear()
 
@@ -41,11 +44,11 @@ class ChunkTable:
             self.clear()
         if fresh := list(set(chunks).difference(self.codes)):
             ids = self.tokenise(fresh)
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             total, used = int(count.sum()), self.used
             if used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat[:used], np.zeros(used + 2 * total, np.uint32)])
-            self.flat[used : used + total] = np.fromiter((x for own in ids for x in own), np.uint32, total)
+            self.flat[used : used + total] = np.frombuffer(b"".join(ids), np.uint32)
             self.start = np.concatenate([self.start, used + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])
             self.used += total
@@ -81,30 +84,66 @@ def unspaced_chunks(text: str) -> list[str]:
     return UNSPACED.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
-def tokenizers_encoder(path: str, separator: str) -> Callable[[list[str]], list[list[int]]]:
-    """Encodes chunks with the tokenizers library, many in one call: a special token stands between them."""
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    mark = library.token_to_id(separator)
-
-    def tokenise(chunks: list[str]) -> list[list[int]]:
-        plain = [c for c in chunks if separator not in c]
-        found: dict[str, list[int]] = {c: library.encode(c, add_special_tokens=False).ids for c in chunks if separator in c}
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(library.encode_batch_fast([separator.join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == mark)
-            found.update(zip(some, (x[k > 0 :].tolist() for k, x in enumerate(np.split(ids, cuts))), strict=True))
-        return [found[c] for c in chunks]
-
-    return tokenise
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Chunks of these characters alone are cut into pre-tokens here; there Python's classes are those of the libraries.
+LATIN = re.compile(f"[\\n -~{LETTERS.replace('ø-ɏ', 'ø-įı-ɏ')}]*")
+SHORTENED = "'s|'t|'re|'ve|'m|'ll|'d|"
+BYTE_LEVEL = re.compile(f"{SHORTENED} ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
+WORD_LEVEL = re.compile(f"{SHORTENED}[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+")
+SPACED_LETTERS, PLAIN_LETTERS = re.compile(f" [{LETTERS}]+"), re.compile(f"[{LETTERS}]+")
+
+
+class PreTokenEncoder:
+    """Encodes chunks with the tokenizers library, each distinct pre-token once.
+
+    Pre-tokens of letters go to the library many in one text and are told apart in its ids: byte-level ones begin
+    with a blank, word-level ones end with a token that ends a word. Chunks with rarer characters go to it whole.
+    """
+
+    def __init__(self, path: str, limit: int = 300_000):
+        from tokenizers import Tokenizer
+
+        self.library, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.lower = any(t.endswith("</w>") for t in vocabulary)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.endswith("</w>") if self.lower else token.startswith("Ġ")
+        self.pattern, self.letters = (WORD_LEVEL, PLAIN_LETTERS) if self.lower else (BYTE_LEVEL, SPACED_LETTERS)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self, fresh: list[str]) -> None:
+        batch = [x for x in fresh if self.letters.fullmatch(x)]
+        for i in range(0, len(batch), 500):
+            some = batch[i : i + 500]
+            ids = self.whole((" " if self.lower else "").join(some))
+            edges = np.flatnonzero(self.edge[ids])
+            cuts = [0, *(4 * (edges + 1)).tolist()] if self.lower else [*(4 * edges).tolist(), 4 * len(ids)]
+            ids = ids.tobytes()
+            self.known.update(zip(some, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+        self.known.update((x, self.whole(x).tobytes()) for x in set(fresh).difference(batch))
+
+    def tokenise(self, chunks: list[str]) -> list[bytes]:
+        if len(self.known) > self.limit:
+            self.known = {}
+        parts: list[list[str] | None] = []
+        for c in chunks:
+            if not LATIN.fullmatch(c) or "<|" in c and any(s in c for s in self.special):
+                parts.append(None)
+            else:
+                parts.append(self.pattern.findall(c.lower() if self.lower else c))
+        self.learn(list({x for own in parts if own for x in own}.difference(self.known)))
+        get = self.known.__getitem__
+        return [self.whole(c).tobytes() if own is None else get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for c, own in zip(chunks, parts, strict=True)]
 
 
 _TABLES: dict[tuple, ChunkTable] = {}
 
 
-def table_for(kind: str, path: str, separator: str = "") -> ChunkTable:
+def table_for(kind: str, path: str) -> ChunkTable:
     """This worker's table for a tokenizer file."""
     if (key := (kind, path)) not in _TABLES:
         if kind == "sentencepiece":
@@ -112,5 +151,5 @@ def table_for(kind: str, path: str, separator: str = "") -> ChunkTable:
 
             _TABLES[key] = ChunkTable(PieceModel(path).tokenise)
         else:
-            _TABLES[key] = ChunkTable(tokenizers_encoder(path, separator))
+            _TABLES[key] = ChunkTable(PreTokenEncoder(path).tokenise)
     return _TABLES[key]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,8 +85,41 @@ def map_texts(docs: DataFrame, step: Callable[[pa.Array, list[str]], dict], sche
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in steps(batches):
-            columns = step(ids, texts)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (columns[n] for n in names)], names=names)
+        gc.disable()  # steps make no cycles, and the collector would visit their many strings again and again
+        try:
+            for ids, texts in steps(batches):
+                columns = step(ids, texts)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (columns[n] for n in names)], names=names)
+        finally:
+            gc.enable()
 
     return docs.mapInArrow(run, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that hold only whole groups of rows sorted by keys, and where each group begins (one more for the end)."""
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            own = table[k].to_numpy()
+            new[1:] |= own[1:] != own[:-1]
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = held[-1] if held else None
+        held.append(batch)
+        if last is not None and all(last.column(k)[-1] == batch.column(k)[batch.num_rows - 1] for k in keys):
+            continue  # the same group goes on
+        table = pa.Table.from_batches(held).combine_chunks()
+        first = begins(table)
+        if len(first) > 1:
+            yield table.slice(0, int(first[-1])), first
+        held = table.slice(int(first[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.append(begins(table), table.num_rows)

@@ -24,11 +24,11 @@ from lexisift.llm.common import discard, keyed, map_texts, stash
 PIECES_A_TASK, ROUNDS = 100_000, 4
 
 
-def tokenised_pieces(docs: DataFrame, path: str, separator: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; null and empty texts are the end id alone."""
 
     def step(ids: pa.Array, texts: list[str]) -> dict:
-        flat, starts, _ = table_for("tokenizers", path, separator).encode([unspaced_chunks(x) for x in texts])
+        flat, starts, _ = table_for("tokenizers", path).encode([unspaced_chunks(x) for x in texts])
         out: list[tuple[int, int, int, int, int]] = []
         for row, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
             own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
@@ -143,9 +143,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, pieces_a_task: int = PIECES_A_
     return out.drop("offered")
 
 
-def pack_documents(docs: DataFrame, path: str, separator: str = "<|startoftext|>", end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every token of every document in one place."""
-    pieces = stash(tokenised_pieces(docs, path, separator, end_id, capacity, id_col, text_col), "pieces")
+    pieces = stash(tokenised_pieces(docs, path, end_id, capacity, id_col, text_col), "pieces")
     packed = pack(pieces, capacity)
     discard(pieces)
     return packed

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,12 @@ class PieceModel:
             return []
         return self.pattern.findall(MARK + text.replace(" ", MARK)) if self.cuts else [MARK + text]
 
-    def tokenise(self, chunks: list[str]) -> list[list[int]]:
+    def tokenise(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk. The library puts a marker before each text: a chunk that has one goes without, one
         that has none goes behind a line feed, whose ids and the marker's are taken off."""
         line = self.library.encode("\n")
         ids = self.library.encode([c[1:] if c[0] == MARK and len(c) > 1 else "\n" + c for c in chunks], num_threads=1)
-        return [own if c[0] == MARK and len(c) > 1 else own[len(line) :] for c, own in zip(chunks, ids, strict=True)]
+        return [array("I", own if c[0] == MARK and len(c) > 1 else own[len(line) :]).tobytes() for c, own in zip(chunks, ids, strict=True)]
 
 
 _MODELS: dict[str, PieceModel] = {}

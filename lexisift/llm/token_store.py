@@ -19,6 +19,7 @@ Parquet table, so that a lost executor's half-written files never become part of
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -83,7 +84,7 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return ids, none, lengths, decode_values(control, np.frombuffer(block, np.uint8, offset=at + len(control)), n), before
 
 
-def write_store(docs: DataFrame, path: str, separator: str = "<|endoftext|>", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+def write_store(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
     """Tokenises documents, each with the end id behind it, and writes the store; (blocks, id of each rank).
 
     Blocks have the columns shard, block, n_ids, payload. Null and empty texts are the end id alone; null document ids
@@ -97,9 +98,10 @@ def write_store(docs: DataFrame, path: str, separator: str = "<|endoftext|>", en
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        gc.disable()  # as in map_texts
         shard, before = TaskContext.get().partitionId(), 0
         for block, (ids, texts) in enumerate(steps(batches)):
-            flat, starts, _ = table_for("tokenizers", path, separator).encode([spaced_chunks(x) for x in texts])
+            flat, starts, _ = table_for("tokenizers", path).encode([spaced_chunks(x) for x in texts])
             flat = np.insert(flat, starts[1:], end_id)
             lengths = np.diff(starts) + 1
             wide = bool(len(flat)) and int(flat.max()) > 0xFFFF
@@ -108,6 +110,7 @@ def write_store(docs: DataFrame, path: str, separator: str = "<|endoftext|>", en
                 "lengths": pa.array([lengths], pa.list_(pa.int64())), "width": pa.array([4 if wide else 2], pa.int32()), "ids": pa.array([flat.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
             })
             before += len(flat)
+        gc.enable()
 
     raw = stash(ordered.mapInArrow(tokenise, "shard int, block int, before bigint, doc_ids array<bigint>, lengths array<bigint>, width int, ids binary"), "ids-raw")
 
