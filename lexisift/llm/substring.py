@@ -241,7 +241,7 @@ def _cut(docs: DataFrame, window: int, shard_rows: int, id_col: str, text_col: s
 
 def gone_words(n_words: int, spans: list[dict] | None, window: int) -> np.ndarray:
     edge = np.zeros(n_words + 1, np.int64)
-    for s in spans or ():
+    for s in () if spans is None else spans:
         edge[s["at"]] += 1
         edge[s["at"] + s["n"] + window - 1] -= 1
     return np.cumsum(edge[:-1]) > 0
