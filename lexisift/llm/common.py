@@ -80,9 +80,10 @@ def steps(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> It
             yield ids.slice(begin), texts.slice(begin).to_pylist()
 
 
-def map_texts(docs: DataFrame, step: Callable[[pa.Array, list[str]], dict], schema: str) -> DataFrame:
-    """Applies step to (doc_id, text) in bounded steps; step returns the columns of schema."""
-    names = [part.split()[0] for part in schema.split(",")]
+def map_texts(docs: DataFrame, step: Callable[[pa.Array, list[str]], dict], schema: str, names: list[str] | None = None) -> DataFrame:
+    """Applies step to (doc_id, text) in bounded steps; step returns the columns of schema. names: those of the
+    columns, where a type of the schema has commas."""
+    names = names or [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # steps make no cycles, and the collector would visit their many strings again and again
