@@ -10,8 +10,10 @@ is cut into shards by content and each passage meets only the shard it can match
 3. Segments of one key that are not equal may still share windows, at the edges of repeated passages. They form a
    shard. Its segments are streamed in the order of ids through a suffix automaton of those before them; where the matching
    statistic reaches the window length, the window goes.
-4. A key with more than SHARD_ROWS different segments (a very common phrase) has no automaton, which would be one task's
-   work. Its windows are spread out by their own hash instead, and each finds its first document there.
+4. A key with more than SHARD_ROWS different segments (a very common phrase) would be one task's work. Its segments
+   are cut by a second key, the least hash of runs of LONG_SEED words, and each pair of keys is a shard.
+5. Where a pair of keys has too many segments still, its windows are spread out by their own hash, and each finds its
+   first document there.
 
 Word hashes are 64 bits wide and windows are told apart by 128 bits.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexisift.llm.common import discard, keyed, map_texts, stash, steps, whole_groups
 
-SEED, SHARD_ROWS = 16, 512
+SEED, LONG_SEED, SHARD_ROWS = 16, 40, 512
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _POWERS: list[np.ndarray] = []
 
@@ -68,10 +70,10 @@ class Rolling:
         return mixed((self.sums[k][end] - self.sums[k][begin]) * self.back[k][begin])
 
 
-def window_keys(rolling: Rolling, n: int, window: int) -> np.ndarray:
-    """The key of each window: the least hash of a run of SEED words in it."""
-    seed = min(SEED, window)
-    begin = np.arange(n - seed + 1)
+def window_keys(rolling: Rolling, begin: int, end: int, window: int, seed: int) -> np.ndarray:
+    """The key of each window of words begin to end: the least hash of a run of so many words in it."""
+    seed = min(seed, window)
+    begin = np.arange(begin, end - seed + 1)
     least = rolling.of(0, begin, begin + seed)
     wide, total = 1, window - seed + 1
     while wide < total:
@@ -91,7 +93,7 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
             if len(words) < window:
                 continue
             rolling = Rolling(word_hashes(words))
-            keys = window_keys(rolling, len(words), window)
+            keys = window_keys(rolling, 0, len(words), window, SEED)
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             number = np.diff(first, append=len(keys))
             end = first + number + window - 1
@@ -182,7 +184,7 @@ def repeated_windows(docs: DataFrame, window: int, shard_rows: int = SHARD_ROWS)
     with_text = docs.join(edges, F.col("doc_id") == F.col("edge_id")).select("doc_id", "text", "own")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of segments of shards, and the windows of segments of common keys."""
+        """The words of segments, those of common keys cut by the second key."""
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
@@ -192,19 +194,21 @@ def repeated_windows(docs: DataFrame, window: int, shard_rows: int = SHARD_ROWS)
                     at, n = own["at"], own["n"]
                     if own["others"] <= shard_rows:
                         out.append((row["doc_id"], own["key"], 0, at, hashes[at : at + n + window - 1].tobytes()))
-                    else:
-                        rolling = rolling or Rolling(hashes)
-                        begin = np.arange(at, at + n)
-                        one, two = (rolling.of(k, begin, begin + window).view(np.int64).tolist() for k in (0, 1))
-                        out += [(row["doc_id"], a, b, c, None) for a, b, c in zip(one, two, begin.tolist(), strict=True)]
+                        continue
+                    rolling = rolling or Rolling(hashes)
+                    more = window_keys(rolling, at, at + n + window - 1, window, LONG_SEED).view(np.int64)
+                    first = np.flatnonzero(np.concatenate([[True], more[1:] != more[:-1]]))
+                    for i, size in zip(first.tolist(), np.diff(first, append=n).tolist(), strict=True):
+                        out.append((row["doc_id"], own["key"], int(more[i]), at + i, hashes[at + i : at + i + size + window - 1].tobytes()))
             if out:
                 doc_id, key, more, at, words = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_id, batch.column(0).type), pa.array(key, pa.int64()), pa.array(more, pa.int64()), pa.array(at, pa.int32()), pa.array(words, pa.binary())], names=["doc_id", "key", "more", "at", "words"])
 
     parts = stash(with_text.mapInArrow(read, f"doc_id {kind}, key bigint, more bigint, at int, words binary"), "segments-words")
+    common = stash(parts.groupBy("key", "more").agg(F.count("*").alias("others")).filter(F.col("others") > shard_rows).drop("others"), "keys-common")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in whole_groups(batches, ["key"]):
+        for table, begins in whole_groups(batches, ["key", "more"]):
             out_id, out_at, out_n = [], [], []
             ids, places, words = table["doc_id"].to_pylist(), table["at"].to_pylist(), table["words"].to_pylist()
             for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
@@ -224,11 +228,19 @@ def repeated_windows(docs: DataFrame, window: int, shard_rows: int = SHARD_ROWS)
             if out_id:
                 yield pa.RecordBatch.from_arrays([pa.array(out_id, table["doc_id"].type), pa.array(np.concatenate(out_at), pa.int32()), pa.array(np.concatenate(out_n), pa.int32())], names=["doc_id", "at", "n"])
 
-    shards = parts.filter("words IS NOT NULL").select("key", "doc_id", "at", "words")
-    matched = shards.repartition("key").sortWithinPartitions("key", "doc_id", "at").mapInArrow(match, f"doc_id {kind}, at int, n int")
-    common = parts.filter("words IS NULL").drop("words")
-    firsts = common.groupBy("key", "more").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l")).filter("f < l")
-    spread = common.join(stash(firsts, "windows-first"), ["key", "more"]).filter("doc_id > f").select("doc_id", "at", F.lit(1).alias("n"))
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, at, words in zip(*(batch.column(i) for i in range(2)), batch.column(2).to_pylist(), strict=True):
+                hashes = np.frombuffer(words, np.uint64)
+                rolling, begin = Rolling(hashes), np.arange(len(hashes) - window + 1)
+                one, two = (rolling.of(k, begin, begin + window).view(np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(begin), batch.column(0).type), pa.array(at.as_py() + begin, pa.int32()), pa.array(one), pa.array(two)], names=["doc_id", "at", "h1", "h2"])
+
+    shards = parts.join(common, ["key", "more"], "left_anti").select("key", "more", "doc_id", "at", "words")
+    matched = shards.repartition("key", "more").sortWithinPartitions("key", "more", "doc_id", "at").mapInArrow(match, f"doc_id {kind}, at int, n int")
+    spread = stash(parts.join(common, ["key", "more"], "left_semi").select("doc_id", "at", "words").mapInArrow(windows, f"doc_id {kind}, at int, h1 bigint, h2 bigint"), "windows")
+    firsts = stash(spread.groupBy("h1", "h2").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l")).filter("f < l").drop("l"), "windows-first")
+    spread = spread.join(firsts, ["h1", "h2"]).filter("doc_id > f").select("doc_id", "at", F.lit(1).alias("n"))
     return whole.union(matched).union(spread)
 
 
