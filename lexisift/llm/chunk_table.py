@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -63,6 +64,12 @@ class ChunkTable:
         at += np.arange(len(at))
         return self.flat[at]
 
+    def encode_distinct(self, distinct: list[str], which: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For chunks given as places in a list of distinct ones, and where each text's chunks begin (one more for the
+        end): all ids, where each text's ids begin (one more for the end)."""
+        codes = self.code(distinct)[which]
+        return self.ids(codes), np.concatenate([[0], np.cumsum(self.count[codes])])[begins]
+
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For texts given as chunks: all ids, where each text's ids begin (one more for the end), all codes."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -79,6 +86,74 @@ def spaced_chunks(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]] if text else []
 
 
+#: Classes of bytes: white space, ASCII letter, punctuation, other ASCII, first byte of a Latin letter (three kinds, by which
+#: second bytes make none: × and ÷, İ, whose lower case is two characters, and none), second byte (four kinds), other.
+SPACE, LETTER, PUNCTUATION, PLAIN, LEAD_C3, LEAD_C4, LEAD, SECOND, SECOND_97, SECOND_B7, SECOND_B0, OTHER = range(12)
+
+
+def _byte_class(c: int) -> int:
+    if c < 128:
+        return SPACE if c in b" \t\n\x0b\x0c\r" else LETTER if chr(c).isalpha() else PUNCTUATION if 32 < c < 127 and not chr(c).isalnum() else PLAIN
+    if c < 0xC0:
+        return {0x97: SECOND_97, 0xB7: SECOND_B7, 0xB0: SECOND_B0}.get(c, SECOND)
+    return {0xC3: LEAD_C3, 0xC4: LEAD_C4}.get(c, LEAD if 0xC5 <= c <= 0xC9 else OTHER)
+
+
+#: What ends with a byte: a Latin letter, other ASCII, white space, or something that is not looked into.
+ENDS_LETTER, ENDS_ASCII, ENDS_SPACE, ENDS_OTHER = range(4)
+
+
+def _end(before: int, c: int) -> int:
+    if c <= PLAIN:
+        return (ENDS_SPACE, ENDS_LETTER, ENDS_ASCII, ENDS_ASCII)[c]
+    barred = {LEAD_C3: (SECOND_97, SECOND_B7), LEAD_C4: (SECOND_B0,), LEAD: ()}
+    return ENDS_LETTER if before in barred and SECOND <= c <= SECOND_B0 and c not in barred[before] else ENDS_OTHER
+
+
+CLASS = np.array([_byte_class(c) for c in range(256)], np.uint8)
+END = np.array([_end(x >> 4, x & 15) for x in range(256)], np.uint8)
+#: By what ends before a byte (times 16) and the byte's class: whether a chunk begins; with and without white space.
+SPACED_CUT = np.array([x & 15 == SPACE and x >> 4 in (ENDS_LETTER, ENDS_ASCII) or x & 15 == PUNCTUATION and x >> 4 == ENDS_LETTER for x in range(256)])
+UNSPACED_CUT = np.array([x & 15 != SPACE and x >> 4 == ENDS_SPACE or x & 15 == PUNCTUATION and x >> 4 == ENDS_LETTER for x in range(256)])
+TO_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
+def chunks_in_buffer(texts: pa.Array, spaced: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The chunks of many texts at once, found in their bytes: distinct ones, which of them stand where, and where each
+    text's begin (one more for the end).
+
+    A cut comes before white space that follows other characters, and before punctuation that follows a Latin letter; no
+    pre-token crosses these. spaced: white space stays with the word behind it; else it goes, and A to Z are lowered.
+    Texts with the beginning of a special token are cut as strings.
+    """
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if b"<|" in memoryview(data).tobytes():
+        cut = [(spaced_chunks if spaced else unspaced_chunks)(t.as_py().decode()) for t in texts]
+        whole = pa.array([c for own in cut for c in own], pa.large_string()).dictionary_encode()
+        return whole.dictionary.to_pylist(), whole.indices.to_numpy(), np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
+    kind = CLASS[data]
+    before = np.empty_like(kind)
+    before[:1], before[1:] = SPACE, kind[:-1]
+    end = END[(before << 4) | kind]
+    before[1:] = end[:-1]
+    begin = np.append((SPACED_CUT if spaced else UNSPACED_CUT)[(before << 4) | kind], False)
+    begin[offsets] = True
+    begin[-1] = False
+    if spaced:
+        places = np.flatnonzero(begin)
+        starts = np.append(places, len(data))
+    else:
+        solid = kind != SPACE
+        places = np.flatnonzero(begin[:-1] & solid)
+        data = TO_LOWER[data[solid]]
+        starts = np.append(places - np.searchsorted(np.flatnonzero(~solid), places), len(data))
+    chunks = pa.Array.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return chunks.dictionary.cast(pa.large_string()).to_pylist(), chunks.indices.to_numpy(), np.searchsorted(places, offsets)
+
+
 def unspaced_chunks(text: str) -> list[str]:
     """Words; for tokenizers that drop white space."""
     return UNSPACED.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
@@ -100,7 +175,7 @@ class PreTokenEncoder:
     with a blank, word-level ones end with a token that ends a word. Chunks with rarer characters go to it whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 100_000):
         from tokenizers import Tokenizer
 
         self.library, self.limit, self.known = Tokenizer.from_file(path), limit, {}
@@ -109,35 +184,47 @@ class PreTokenEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.edge[i] = token.endswith("</w>") if self.lower else token.startswith("Ġ")
+        self.line = None if self.lower else vocabulary.get("Ċ")
         self.pattern, self.letters = (WORD_LEVEL, PLAIN_LETTERS) if self.lower else (BYTE_LEVEL, SPACED_LETTERS)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, fresh: list[str]) -> None:
+    def learn(self, fresh: list[str], known: dict[str, bytes]) -> None:
+        """Adds the ids of pre-tokens to known."""
         batch = [x for x in fresh if self.letters.fullmatch(x)]
+        if self.line is not None:  # letters without a blank, a line feed before each
+            plain = [x for x in fresh if PLAIN_LETTERS.fullmatch(x)]
+            for i in range(0, len(plain), 500):
+                some = plain[i : i + 500]
+                ids = self.whole("\n" + "\n".join(some))
+                cuts = [*(4 * np.flatnonzero(ids == self.line)).tolist(), 4 * len(ids)]
+                ids = ids.tobytes()
+                known.update(zip(some, (ids[a + 4 : b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            fresh = set(fresh).difference(plain)
         for i in range(0, len(batch), 500):
             some = batch[i : i + 500]
             ids = self.whole((" " if self.lower else "").join(some))
             edges = np.flatnonzero(self.edge[ids])
             cuts = [0, *(4 * (edges + 1)).tolist()] if self.lower else [*(4 * edges).tolist(), 4 * len(ids)]
             ids = ids.tobytes()
-            self.known.update(zip(some, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
-        self.known.update((x, self.whole(x).tobytes()) for x in set(fresh).difference(batch))
+            known.update(zip(some, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+        known.update((x, self.whole(x).tobytes()) for x in set(fresh).difference(batch))
 
     def tokenise(self, chunks: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known = {}
-        parts: list[list[str] | None] = []
+        alone, parts = set(), {}
         for c in chunks:
-            if not LATIN.fullmatch(c) or "<|" in c and any(s in c for s in self.special):
-                parts.append(None)
-            else:
-                parts.append(self.pattern.findall(c.lower() if self.lower else c))
-        self.learn(list({x for own in parts if own for x in own}.difference(self.known)))
-        get = self.known.__getitem__
-        return [self.whole(c).tobytes() if own is None else get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for c, own in zip(chunks, parts, strict=True)]
+            if self.letters.fullmatch(c) and not (self.lower and not c.islower()):
+                alone.add(c)
+            elif LATIN.fullmatch(c) and not ("<|" in c and any(s in c for s in self.special)):
+                parts[c] = self.pattern.findall(c.lower() if self.lower else c)
+        known, single = self.known, {}
+        self.learn(list({x for own in parts.values() for x in own}.difference(known)), known)
+        self.learn(list(alone), single)  # the table remembers these
+        return [single[c] if c in single else b"".join(map(known.__getitem__, parts[c])) if c in parts else self.whole(c).tobytes() for c in chunks]
 
 
 _TABLES: dict[tuple, ChunkTable] = {}
@@ -151,5 +238,5 @@ def table_for(kind: str, path: str) -> ChunkTable:
 
             _TABLES[key] = ChunkTable(PieceModel(path).tokenise)
         else:
-            _TABLES[key] = ChunkTable(PreTokenEncoder(path).tokenise)
+            _TABLES[key] = ChunkTable(PreTokenEncoder(path).tokenise, 500_000)
     return _TABLES[key]

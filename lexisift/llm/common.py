@@ -65,7 +65,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
 
-def steps(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.Array, list[str]]]:
+def slices(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) of at most step_bytes of text each, or of one document if that is longer."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -73,22 +73,28 @@ def steps(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> It
         begin, held = 0, 0
         for i, size in enumerate(sizes):
             if held and held + size > step_bytes:
-                yield ids.slice(begin, i - begin), texts.slice(begin, i - begin).to_pylist()
+                yield ids.slice(begin, i - begin), texts.slice(begin, i - begin)
                 begin, held = i, 0
             held += int(size)
         if begin < len(sizes):
-            yield ids.slice(begin), texts.slice(begin).to_pylist()
+            yield ids.slice(begin), texts.slice(begin)
+
+
+def steps(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The same with texts as Python strings."""
+    for ids, texts in slices(batches, step_bytes):
+        yield ids, texts.to_pylist()
 
 
-def map_texts(docs: DataFrame, step: Callable[[pa.Array, list[str]], dict], schema: str, names: list[str] | None = None) -> DataFrame:
+def map_texts(docs: DataFrame, step: Callable[..., dict], schema: str, names: list[str] | None = None, arrow: bool = False) -> DataFrame:
     """Applies step to (doc_id, text) in bounded steps; step returns the columns of schema. names: those of the
-    columns, where a type of the schema has commas."""
+    columns, where a type of the schema has commas; arrow: step takes texts as an Arrow array."""
     names = names or [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # steps make no cycles, and the collector would visit their many strings again and again
         try:
-            for ids, texts in steps(batches):
+            for ids, texts in slices(batches, 2 * STEP_BYTES) if arrow else steps(batches):
                 columns = step(ids, texts)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (columns[n] for n in names)], names=names)
         finally:

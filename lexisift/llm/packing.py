@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.chunk_table import table_for, unspaced_chunks
+from lexisift.llm.chunk_table import chunks_in_buffer, table_for
 from lexisift.llm.common import discard, keyed, map_texts, stash
 
 #: Pieces a task packs at a time, and rounds of exchange at most.
@@ -27,8 +27,8 @@ PIECES_A_TASK, ROUNDS = 100_000, 4
 def tokenised_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; null and empty texts are the end id alone."""
 
-    def step(ids: pa.Array, texts: list[str]) -> dict:
-        flat, starts, _ = table_for("tokenizers", path).encode([unspaced_chunks(x) for x in texts])
+    def step(ids: pa.Array, texts: pa.Array) -> dict:
+        flat, starts = table_for("tokenizers", path).encode_distinct(*chunks_in_buffer(texts, spaced=False))
         out: list[tuple[int, int, int, int, int]] = []
         for row, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
             own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
@@ -36,7 +36,7 @@ def tokenised_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_
         row, piece, start, length, crc = (np.array(x, np.int64) for x in zip(*out, strict=True))
         return {"doc_id": ids.take(pa.array(row)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc}
 
-    return map_texts(keyed(docs, id_col, text_col), step, f"doc_id {dict(docs.dtypes)[id_col]}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_texts(keyed(docs, id_col, text_col), step, f"doc_id {dict(docs.dtypes)[id_col]}, piece int, start bigint, length bigint, ids_crc32 bigint", arrow=True)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.chunk_table import spaced_chunks, table_for
-from lexisift.llm.common import discard, keyed, stash, steps
+from lexisift.llm.chunk_table import chunks_in_buffer, table_for
+from lexisift.llm.common import STEP_BYTES, discard, keyed, slices, stash
 
 MAGIC, HEAD = b"LXV1", struct.Struct("<4sIQQ")
 #: For each control byte: its four lengths, where each value begins, and their sum.
@@ -42,11 +42,22 @@ TOTAL = LENGTHS.sum(axis=1)
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, "<u4")
-    extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    padded[: len(values)] = extra
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    extra = padded[: len(values)]
+    for edge in (0xFF, 0xFFFF, 0xFFFFFF):
+        more = values > edge
+        if not more.any():
+            break
+        extra += more
+    control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    end = np.cumsum(extra, dtype=np.int64)
+    begin = np.arange(len(values)) + end - extra
+    data = np.empty(len(values) + int(end[-1]) if len(values) else 0, np.uint8)
+    raw = values.view(np.uint8)
+    data[begin] = raw[0::4]
+    for k in range(1, 1 + int(extra.max(initial=0))):
+        more = np.flatnonzero(extra >= k)
+        data[begin[more] + k] = raw[4 * more + k]
     return control.tobytes(), data.tobytes()
 
 
@@ -100,8 +111,8 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_
 
         gc.disable()  # as in map_texts
         shard, before = TaskContext.get().partitionId(), 0
-        for block, (ids, texts) in enumerate(steps(batches)):
-            flat, starts, _ = table_for("tokenizers", path).encode([spaced_chunks(x) for x in texts])
+        for block, (ids, texts) in enumerate(slices(batches, 2 * STEP_BYTES)):
+            flat, starts = table_for("tokenizers", path).encode_distinct(*chunks_in_buffer(texts, spaced=True))
             flat = np.insert(flat, starts[1:], end_id)
             lengths = np.diff(starts) + 1
             wide = bool(len(flat)) and int(flat.max()) > 0xFFFF
