@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexisift.plans.storage import discard, shared_dir, stash
+
+__all__ = ["discard", "shared_dir", "stash"]
+
 #: Bytes of text that one step of an Arrow operator holds as Python strings.
 STEP_BYTES = 8 << 20
 #: ASCII white space, the only separators of words in these operators.
@@ -25,36 +27,6 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexisift-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it again, which cuts its lineage.
-
-    The files outlive a lost executor. The path stands in the frame's attribute ``stash_path``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexisift/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stash_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes tables that stash() wrote and nobody reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
