@@ -238,5 +238,5 @@ def table_for(kind: str, path: str) -> ChunkTable:
 
             _TABLES[key] = ChunkTable(PieceModel(path).tokenise)
         else:
-            _TABLES[key] = ChunkTable(PreTokenEncoder(path).tokenise, 500_000)
+            _TABLES[key] = ChunkTable(PreTokenEncoder(path).tokenise, 400_000)
     return _TABLES[key]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.chunk_table import chunks_in_buffer, table_for
-from lexisift.llm.common import STEP_BYTES, discard, keyed, slices, stash
+from lexisift.llm.common import discard, keyed, slices, stash
 
 MAGIC, HEAD = b"LXV1", struct.Struct("<4sIQQ")
 #: For each control byte: its four lengths, where each value begins, and their sum.
@@ -111,31 +111,35 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_
 
         gc.disable()  # as in map_texts
         shard, before = TaskContext.get().partitionId(), 0
-        for block, (ids, texts) in enumerate(slices(batches, 2 * STEP_BYTES)):
+        for block, (ids, texts) in enumerate(slices(batches)):
             flat, starts = table_for("tokenizers", path).encode_distinct(*chunks_in_buffer(texts, spaced=True))
             flat = np.insert(flat, starts[1:], end_id)
             lengths = np.diff(starts) + 1
+            number = np.bincount(flat)
+            seen = np.flatnonzero(number)
             wide = bool(len(flat)) and int(flat.max()) > 0xFFFF
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "before": pa.array([before], pa.int64()), "doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())),
                 "lengths": pa.array([lengths], pa.list_(pa.int64())), "width": pa.array([4 if wide else 2], pa.int32()), "ids": pa.array([flat.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
+                "seen": pa.array([seen], pa.list_(pa.int64())), "times": pa.array([number[seen]], pa.list_(pa.int64())),
             })
             before += len(flat)
         gc.enable()
 
-    raw = stash(ordered.mapInArrow(tokenise, "shard int, block int, before bigint, doc_ids array<bigint>, lengths array<bigint>, width int, ids binary"), "ids-raw")
+    raw = stash(ordered.mapInArrow(tokenise, "shard int, block int, before bigint, doc_ids array<bigint>, lengths array<bigint>, width int, ids binary, seen array<bigint>, times array<bigint>"), "ids-raw", "snappy")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+            ids, times = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
+            own = np.zeros(max(len(total), int(ids.max(initial=-1)) + 1), np.int64)
+            own[: len(total)] = total
+            np.add.at(own, ids, times)
+            total = own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
 
-    counts = raw.select("width", "ids").mapInArrow(frequencies, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = raw.select("seen", "times").mapInArrow(frequencies, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     id_of = np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], np.int64)
     rank_of = np.zeros(int(id_of.max(initial=0)) + 1, np.uint32)
     rank_of[id_of] = np.arange(len(id_of))
@@ -147,7 +151,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_
                 payload = pack_block(pa.array(row["doc_ids"], pa.int64()), np.array(row["lengths"]), ranks, row["before"])
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([row["shard"]], pa.int32()), "block": pa.array([row["block"]], pa.int32()), "n_ids": [len(ranks)], "payload": [payload]})
 
-    blocks = stash(raw.mapInArrow(encode, "shard int, block int, n_ids bigint, payload binary"), "ids-store")
+    blocks = stash(raw.drop("seen", "times").mapInArrow(encode, "shard int, block int, n_ids bigint, payload binary"), "ids-store", "snappy")
     discard(raw)
     return blocks, id_of
 
