@@ -60,8 +60,9 @@ class ChunkTable:
         """The ids of the chunks with these codes, in this order."""
         count = self.count[codes]
         ends = np.cumsum(count)
-        at = np.repeat(self.start[codes] - (ends - count), count)
-        at += np.arange(len(at))
+        place = np.int32 if self.used + len(codes) < 1 << 30 and (not len(ends) or ends[-1] < 1 << 30) else np.int64
+        at = np.repeat((self.start[codes] - (ends - count)).astype(place), count)
+        at += np.arange(len(at), dtype=place)
         return self.flat[at]
 
     def encode_distinct(self, distinct: list[str], which: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +190,7 @@ class PreTokenEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def learn(self, fresh: list[str], known: dict[str, bytes]) -> None:
         """Adds the ids of pre-tokens to known."""

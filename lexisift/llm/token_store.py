@@ -34,9 +34,9 @@ from lexisift.llm.common import discard, keyed, slices, stash
 
 MAGIC, HEAD = b"LXV1", struct.Struct("<4sIQQ")
 #: For each control byte: its four lengths, where each value begins, and their sum.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-BEGINS = np.cumsum(LENGTHS, axis=1) - LENGTHS
-TOTAL = LENGTHS.sum(axis=1)
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
+BEGINS = (np.cumsum(LENGTHS, axis=1) - LENGTHS).astype(np.int32)
+TOTAL = LENGTHS.sum(axis=1).astype(np.int32)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -50,8 +50,9 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
             break
         extra += more
     control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
-    end = np.cumsum(extra, dtype=np.int64)
-    begin = np.arange(len(values)) + end - extra
+    place = np.int32 if len(values) < 1 << 29 else np.int64
+    end = np.cumsum(extra, dtype=place)
+    begin = np.arange(len(values), dtype=place) + end - extra
     data = np.empty(len(values) + int(end[-1]) if len(values) else 0, np.uint8)
     raw = values.view(np.uint8)
     data[begin] = raw[0::4]
@@ -64,8 +65,8 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
 def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The n values, by table lookup of every control byte."""
     total = TOTAL[control]
-    begin = ((np.cumsum(total) - total)[:, None] + BEGINS[control]).ravel()[:n]
-    length = LENGTHS[control].ravel()[:n]
+    begin = (np.cumsum(total, dtype=np.int32 if n < 1 << 29 else np.int64) - total)[:, None] + BEGINS[control]
+    begin, length = begin.ravel()[:n], LENGTHS[control].ravel()[:n]
     data = np.concatenate([data, np.zeros(4, np.uint8)])
     out = data[begin].astype(np.uint32)
     for k in (1, 2, 3):
@@ -151,7 +152,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_
                 payload = pack_block(pa.array(row["doc_ids"], pa.int64()), np.array(row["lengths"]), ranks, row["before"])
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([row["shard"]], pa.int32()), "block": pa.array([row["block"]], pa.int32()), "n_ids": [len(ranks)], "payload": [payload]})
 
-    blocks = stash(raw.drop("seen", "times").mapInArrow(encode, "shard int, block int, n_ids bigint, payload binary"), "ids-store", "snappy")
+    blocks = stash(raw.drop("seen", "times").mapInArrow(encode, "shard int, block int, n_ids bigint, payload binary"), "ids-store")
     discard(raw)
     return blocks, id_of
 
