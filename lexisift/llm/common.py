@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -37,19 +39,31 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) of at most step_bytes of text each, or of one document if that is longer."""
+def give_back() -> None:
+    """Returns freed memory to the system, since a Python worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def parts(batches: Iterator[pa.RecordBatch], text: int | str = 1, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of at most step_bytes in the column of texts each, or of one document if that is longer."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        sizes = pc.binary_length(texts.cast(pa.large_binary())).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
         for i, size in enumerate(sizes):
             if held and held + size > step_bytes:
-                yield ids.slice(begin, i - begin), texts.slice(begin, i - begin)
+                yield batch.slice(begin, i - begin)
                 begin, held = i, 0
             held += int(size)
         if begin < len(sizes):
-            yield ids.slice(begin), texts.slice(begin)
+            yield batch.slice(begin)
+
+
+def slices(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of at most step_bytes of text each, or of one document if that is longer."""
+    for batch in parts(batches, 1, step_bytes):
+        yield batch.column(0), batch.column(1)
 
 
 def steps(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -71,6 +85,7 @@ def map_texts(docs: DataFrame, step: Callable[..., dict], schema: str, names: li
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (columns[n] for n in names)], names=names)
         finally:
             gc.enable()
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

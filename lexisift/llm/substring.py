@@ -25,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.common import discard, keyed, map_texts, stash, steps, whole_groups
+from lexisift.llm.common import discard, keyed, map_texts, stash, whole_groups
+from lexisift.llm.common import parts as parts_of
 
 SEED, LONG_SEED, SHARD_ROWS = 16, 40, 512
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -180,26 +182,27 @@ def repeated_windows(docs: DataFrame, window: int, shard_rows: int = SHARD_ROWS)
     discard(rows, asked)
     whole = found.filter("later").select("doc_id", "at", "n")
 
-    edges = found.filter("not later").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n", "others")).alias("own")).withColumnRenamed("doc_id", "edge_id")
+    edges = found.filter("not later").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n", "others")).alias("own")).withColumnRenamed("doc_id", "edge_id").hint("merge")
     with_text = docs.join(edges, F.col("doc_id") == F.col("edge_id")).select("doc_id", "text", "own")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words of segments, those of common keys cut by the second key."""
-        for batch in batches:
+        for batch in parts_of(batches):
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                hashes = word_hashes(words_of(row["text"]))
+            offsets, keys, places, numbers, others = lists(batch.column(2), 4)
+            for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                hashes = word_hashes(words_of(text.as_py()))
                 rolling = None
-                for own in row["own"]:
-                    at, n = own["at"], own["n"]
-                    if own["others"] <= shard_rows:
-                        out.append((row["doc_id"], own["key"], 0, at, hashes[at : at + n + window - 1].tobytes()))
+                for i in range(offsets[row], offsets[row + 1]):
+                    key, at, n = int(keys[i]), int(places[i]), int(numbers[i])
+                    if others[i] <= shard_rows:
+                        out.append((doc_id, key, 0, at, hashes[at : at + n + window - 1].tobytes()))
                         continue
                     rolling = rolling or Rolling(hashes)
                     more = window_keys(rolling, at, at + n + window - 1, window, LONG_SEED).view(np.int64)
                     first = np.flatnonzero(np.concatenate([[True], more[1:] != more[:-1]]))
-                    for i, size in zip(first.tolist(), np.diff(first, append=n).tolist(), strict=True):
-                        out.append((row["doc_id"], own["key"], int(more[i]), at + i, hashes[at + i : at + i + size + window - 1].tobytes()))
+                    for k, size in zip(first.tolist(), np.diff(first, append=n).tolist(), strict=True):
+                        out.append((doc_id, key, int(more[k]), at + k, hashes[at + k : at + k + size + window - 1].tobytes()))
             if out:
                 doc_id, key, more, at, words = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_id, batch.column(0).type), pa.array(key, pa.int64()), pa.array(more, pa.int64()), pa.array(at, pa.int32()), pa.array(words, pa.binary())], names=["doc_id", "key", "more", "at", "words"])
@@ -248,17 +251,38 @@ def _cut(docs: DataFrame, window: int, shard_rows: int, id_col: str, text_col: s
     """doc_id, text and spans: the words that go, as an array of (at, n) of windows."""
     plain = keyed(docs, id_col, text_col)
     spans = repeated_windows(plain, window, shard_rows).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("__lx_spans"))
-    return stash(spans.withColumnRenamed("doc_id", "__lx_id"), "spans")
+    # the spans of a corpus are shuffled like its texts, at every size
+    return stash(spans.withColumnRenamed("doc_id", "__lx_id"), "spans").hint("merge")
+
 
+def lists(column: pa.Array, width: int) -> tuple[np.ndarray, ...]:
+    """Of an array of lists of structs: where each row's begin (one more for the end; none for null), and the fields."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.concatenate([[0], np.cumsum(sizes)]), *(flat.field(k).to_numpy(zero_copy_only=False) for k in range(width))
 
-def gone_words(n_words: int, spans: list[dict] | None, window: int) -> np.ndarray:
+
+def gone_words(n_words: int, at: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """Which words are covered by windows at .. at + n - 1."""
     edge = np.zeros(n_words + 1, np.int64)
-    for s in () if spans is None else spans:
-        edge[s["at"]] += 1
-        edge[s["at"] + s["n"] + window - 1] -= 1
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + n + window - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def kept_words(texts: pa.Array, spans: pa.Array, window: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Of each text: its row, its number of words, and the words that stay."""
+    offsets, at, n = lists(spans, 2)
+    for row, text in enumerate(texts):
+        words = words_of(text.as_py() or "")
+        a, b = offsets[row], offsets[row + 1]
+        if a == b:
+            yield row, len(words), words
+        else:
+            gone = gone_words(len(words), at[a:b], n[a:b], window)
+            yield row, len(words), [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+
+
 def removal_digests(docs: DataFrame, window: int = 50, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 (of the words that stay, with one blank between).
 
@@ -270,20 +294,13 @@ def removal_digests(docs: DataFrame, window: int = 50, shard_rows: int = SHARD_R
     joined = plain.join(spans, F.col("doc_id") == F.col("__lx_id"), "left").select("doc_id", "text", "__lx_spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            spans = batch.column(2).to_pylist()
-            for ids, texts in steps([batch]):
-                n, removed, sha = [], [], []
-                for text, own in zip(texts, spans[at : at + len(texts)], strict=True):
-                    words = words_of(text)
-                    gone = gone_words(len(words), own, window) if own else None
-                    kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    n.append(len(words))
-                    removed.append(len(words) - len(kept))
-                    sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for batch in parts_of(batches):
+            n, removed, sha = [], [], []
+            for _, number, kept in kept_words(batch.column(1), batch.column(2), window):
+                n.append(number)
+                removed.append(number - len(kept))
+                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return joined.mapInArrow(digest, f"doc_id {dict(docs.dtypes)[id_col]}, n_words bigint, n_removed bigint, kept_sha256 string")
 
@@ -293,20 +310,21 @@ def remove_repeats(docs: DataFrame, window: int = 50, shard_rows: int = SHARD_RO
     blank between words; size_col, if given, gets the new number of code points. Cases as in removal_digests()."""
     spans = _cut(docs, window, shard_rows, id_col, text_col)
 
-    def cut(texts, own):
-        import pandas as pd
-
-        out = []
-        for text, spans in zip(texts, own, strict=True):
-            words = words_of(text)
-            gone = gone_words(len(words), spans, window)
-            out.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
-        return pd.Series(out)
-
-    cut = F.pandas_udf(cut, "string")
-    joined = docs.join(spans, F.col(id_col) == F.col("__lx_id"), "left")
-    whole, changed = joined.filter("__lx_spans IS NULL").select(docs.columns), joined.filter("__lx_spans IS NOT NULL")
-    changed = changed.withColumn(text_col, cut(F.col(text_col), F.col("__lx_spans")))
-    if size_col:
-        changed = changed.withColumn(size_col, F.length(text_col).cast(dict(docs.dtypes)[size_col]))
-    return whole.union(changed.select(docs.columns))
+    joined = docs.join(spans, F.col(id_col) == F.col("__lx_id"), "left").select(*docs.columns, "__lx_spans")
+    at, sized = docs.columns.index(text_col), docs.columns.index(size_col) if size_col else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches, at):
+            columns, marks = batch.columns[:-1], batch.columns[-1]
+            hit = pc.fill_null(pc.greater(pc.list_value_length(marks), 0), False)
+            rows = pa.array(np.flatnonzero(hit.to_numpy(zero_copy_only=False)))
+            if len(rows):
+                texts = columns[at].to_pylist()
+                for row, (_, _, kept) in zip(rows.to_pylist(), kept_words(columns[at].take(rows), marks.take(rows), window), strict=True):
+                    texts[row] = b" ".join(kept).decode()
+                columns[at] = pa.array(texts, columns[at].type)
+                if sized is not None:
+                    columns[sized] = pc.if_else(hit, pc.utf8_length(columns[at]).cast(columns[sized].type), columns[sized])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(cut, docs.schema)
