@@ -231,7 +231,7 @@ class PreTokenEncoder:
 _TABLES: dict[tuple, ChunkTable] = {}
 
 
-def table_for(kind: str, path: str) -> ChunkTable:
+def table_for(kind: str, path: str, limit: int = 400_000) -> ChunkTable:
     """This worker's table for a tokenizer file."""
     if (key := (kind, path)) not in _TABLES:
         if kind == "sentencepiece":
@@ -239,5 +239,5 @@ def table_for(kind: str, path: str) -> ChunkTable:
 
             _TABLES[key] = ChunkTable(PieceModel(path).tokenise)
         else:
-            _TABLES[key] = ChunkTable(PreTokenEncoder(path).tokenise, 400_000)
+            _TABLES[key] = ChunkTable(PreTokenEncoder(path).tokenise, limit)
     return _TABLES[key]

@@ -22,13 +22,15 @@ from lexisift.llm.common import discard, keyed, map_texts, stash
 
 #: Pieces a task packs at a time, and rounds of exchange at most.
 PIECES_A_TASK, ROUNDS = 100_000, 4
+#: Distinct chunks that a worker remembers.
+TABLE_CHUNKS = 200_000
 
 
 def tokenised_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; null and empty texts are the end id alone."""
 
     def step(ids: pa.Array, texts: pa.Array) -> dict:
-        flat, starts = table_for("tokenizers", path).encode_distinct(*chunks_in_buffer(texts, spaced=False))
+        flat, starts = table_for("tokenizers", path, TABLE_CHUNKS).encode_distinct(*chunks_in_buffer(texts, spaced=False))
         out: list[tuple[int, int, int, int, int]] = []
         for row, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
             own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.chunk_table import chunks_in_buffer, table_for
-from lexisift.llm.common import discard, keyed, slices, stash
+from lexisift.llm.common import discard, give_back, keyed, slices, stash
 
 MAGIC, HEAD = b"LXV1", struct.Struct("<4sIQQ")
 #: For each control byte: its four lengths, where each value begins, and their sum.
@@ -126,6 +126,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_
             })
             before += len(flat)
         gc.enable()
+        give_back()
 
     raw = stash(ordered.mapInArrow(tokenise, "shard int, block int, before bigint, doc_ids array<bigint>, lengths array<bigint>, width int, ids binary, seen array<bigint>, times array<bigint>"), "ids-raw", "snappy")
 
