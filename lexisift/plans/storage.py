@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stash(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def stash(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it again, which cuts its lineage.
 
     The files outlive a lost executor. The path stands in the frame's attribute ``stash_path``.
