@@ -1,8 +1,8 @@
 """Distinct-chunk tables: every distinct chunk of a partition is tokenised once, ids are joined back by position.
 
 A chunk is a stretch of text between two places that no token crosses, so the ids of a text are those of
-its chunks, one after the other. A table serves all batches that its Python worker sees and is emptied when it
-holds ``limit`` chunks, so its memory does not grow with the input; emptying costs time and changes no result.
+its chunks, one after the other. A table serves all batches that its Python worker sees. When it holds ``limit``
+chunks, those met in one batch only go, so its memory does not grow with the input; that costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -38,11 +38,20 @@ class ChunkTable:
         self.codes: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int32)
+
+    def shrink(self) -> None:
+        """Keeps the chunks met in the most batches, at least two and not more than half of limit; they are then as if met once."""
+        keep = np.argsort(-self.met, kind="stable")[: min(int((self.met > 1).sum()), self.limit // 2)]
+        names, flat, count = list(self.codes), self.ids(keep), self.count[keep]
+        self.codes = dict(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
+        self.flat, self.used = flat, len(flat)
+        self.start, self.count, self.met = np.cumsum(count) - count, count, np.ones(len(keep), np.int32)
 
     def code(self, chunks: list[str]) -> np.ndarray:
         """The code of every chunk; chunks not met before are tokenised, each once."""
         if len(self.codes) > self.limit:
-            self.clear()
+            self.shrink()
         if fresh := list(set(chunks).difference(self.codes)):
             ids = self.tokenise(fresh)
             count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -52,9 +61,12 @@ class ChunkTable:
             self.flat[used : used + total] = np.frombuffer(b"".join(ids), np.uint32)
             self.start = np.concatenate([self.start, used + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])
+            self.met = np.concatenate([self.met, np.zeros(len(count), np.int32)])
             self.used += total
             self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh)), strict=True))
-        return np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        self.met[codes] += 1  # once a batch, however often a chunk stands in it
+        return codes
 
     def ids(self, codes: np.ndarray) -> np.ndarray:
         """The ids of the chunks with these codes, in this order."""

@@ -153,3 +153,21 @@ def test_null_ids_and_repeated_rows(spark):
     assert token_count.count_tokens(docs, PIECE).filter("n_tokens = 2").count() == 4
     assert packing.pack_documents(docs, P.path("word_bpe_49k.json")).select("sequence_id").distinct().count() == 1
     assert [(r.doc_id, r.start) for r in token_store.read_store(*token_store.write_store(docs, P.path("byte_bpe_50k.json"))).orderBy("start").collect()] == [(None, 0), (None, 3), (1, 6), (1, 9)]
+
+
+def test_table_keeps_what_it_meets_again():
+    from lexisift.llm.chunk_table import ChunkTable
+
+    asked = []
+
+    def tokenise(chunks):
+        asked.extend(chunks)
+        return [np.frombuffer(c.encode(), np.uint8).astype("<u4").tobytes() for c in chunks]
+
+    table = ChunkTable(tokenise, limit=8)
+    for i in range(50):
+        chunks = ["often", f"once-{i}", "often", "", *(f"new-{i}-{k}" for k in range(3))]
+        ids = table.ids(table.code(chunks))
+        assert ids.tolist() == list("".join(chunks).encode())
+        assert len(table.codes) <= 8 + 6
+    assert asked.count("often") == 1 and asked.count("once-3") == 1
