@@ -80,7 +80,7 @@ def map_texts(docs: DataFrame, step: Callable[..., dict], schema: str, names: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # steps make no cycles, and the collector would visit their many strings again and again
         try:
-            for ids, texts in slices(batches, 2 * STEP_BYTES) if arrow else steps(batches):
+            for ids, texts in slices(batches) if arrow else steps(batches):
                 columns = step(ids, texts)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (columns[n] for n in names)], names=names)
         finally:
