@@ -5,7 +5,8 @@ kept, and the gaps between them are aligned in the same way. Where a gap has no
 edges are taken. Coverage is the share of the template's words that are aligned.
 
 A template is aligned in the neighbourhood of its word that the text has least often, so that a notice that stands twice
-still has anchors. Only a template whose words occur in the text in sufficient number is aligned: coverage cannot exceed
+still has anchors. Where copies stand so close that a neighbourhood holds several and less is aligned than the words allow, regions of about one
+copy are aligned at every occurrence: between the neighbouring occurrences of the word, and as long as the template. Only a template whose words occur in the text in sufficient number is aligned: coverage cannot exceed
 their share, so nothing is lost.
 """
 
@@ -122,7 +123,8 @@ class Scanner:
                 places = {}
                 for i, w in enumerate(words):
                     places.setdefault(w, []).append(i)
-            if sum(min(n, len(places.get(w, ()))) for w, n in counts.items()) < need:
+            most = sum(min(n, len(places.get(w, ()))) for w, n in counts.items())
+            if most < need:
                 continue
             best: tuple[int, int, int] | None = None
             # some of any so many different words must be in a finding
@@ -144,10 +146,39 @@ class Scanner:
                 pairs = align(region, template)
                 if pairs and (best is None or len(pairs) > best[0]):
                     best = (len(pairs), begin + pairs[0][0], begin + pairs[-1][0] + 1)
+            if best is None or best[0] < most:
+                best = self.single(words, template, counts, {w: places[w] for w in chosen}, spare, most, best)
             if best and best[0] >= need - 1e-9:
                 out.append((name, best[0], best[0] / len(template), best[1], best[2]))
         return sorted(out, key=lambda x: (-x[1], x[0]))
 
+    def single(self, words: list[bytes], template: list[bytes], counts: Counter, places: dict[bytes, list[int]], spare: int, most: int, best: tuple[int, int, int] | None) -> tuple[int, int, int] | None:
+        """The best of best and the alignments of regions that hold about one copy; most: no alignment has more words."""
+        reach = 2 * len(template)
+        done: set[tuple[int, int]] = set()
+        for w, own in places.items():
+            n = counts[w]
+            inside = [j for j, x in enumerate(template) if x == w]
+            for k, at in enumerate(own):
+                last = own[min(k + n, len(own)) - 1]
+                regions = [(max(at - reach, own[k - 1] + 1 if k else 0), min(last + reach, own[k + n] if k + n < len(own) else len(words)))]
+                regions += [(max(0, at - j - more), at - j + len(template) + more) for j in inside for more in sorted({0, spare})]
+                for begin, end in regions:
+                    if (begin, end) in done:
+                        continue
+                    done.add((begin, end))
+                    region = words[begin:end]
+                    there = Counter(region)
+                    bound = sum(min(c, there[x]) for x, c in counts.items())
+                    if bound < len(template) - spare or (best and bound <= best[0]):
+                        continue
+                    pairs = align(region, template)
+                    if pairs and (best is None or len(pairs) > best[0]):
+                        best = (len(pairs), begin + pairs[0][0], begin + pairs[-1][0] + 1)
+                    if best and best[0] == most:
+                        return best
+        return best
+
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, license (that with most aligned words, then the first name; null if none), n_matched,

@@ -70,3 +70,26 @@ def test_scan(spark):
     assert rows == [(-1, name, 1.0), (0, None, 0.0), (1, None, 0.0), (2, None, 0.0), (3, None, 0.0), (4, name, 1.0), (4, name, 1.0), (5, name, 1.0), (6, name, 6 / 7), (7, name, 1.0)]
     assert ls.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert ls.scan_licenses(llm_data.frame(spark, llm_data.rows())).filter("license IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("name,text", ls.TEMPLATES)
+def test_notices_that_repeat_close_by_are_found(name, text):
+    rng = random.Random(name)
+    scanner = ls.Scanner(ls.TEMPLATES, ls.COVERAGE)
+    prose = ["la", "the", "of", "license", "under", "x", "version", "2"]
+    n = len(ls.words_of(text))
+    for copies in (2, 3, 7):
+        for between in ("", "license:", "module a.py\n", "la la under x"):
+            body = f" {between} ".join([text] * copies)
+            words = ls.words_of(" ".join(rng.choices(prose, k=300) + [between, body] + rng.choices(prose, k=300)))
+            by_name = {f[0]: f for f in scanner.findings(words)}
+            assert by_name[name][1:3] == (n, 1.0)
+
+
+def test_close_copies_with_a_changed_word_are_found():
+    scanner = ls.Scanner(ls.TEMPLATES, ls.COVERAGE)
+    text = "Released under the new MIT License. " * 3 + "Released under MIT License. " * 3
+    for body in (text, " ".join(reversed(text.split(". ")))):
+        found = {f[0]: f for f in scanner.findings(ls.words_of("la " * 300 + body + " x" * 300))}
+        assert found["MIT"][2] >= 0.8
+    assert not scanner.findings(ls.words_of("la " * 300 + "license mit the under released " * 5 + " x" * 300))
