@@ -26,10 +26,12 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 #: Part of a group that the estimate rests on; what makes its covariance that of the whole under normality with five statistics.
 SUPPORT, CONSISTENCY, STEPS = 0.75, 1.41, 4
 #: Smallest standard deviation of a statistic; squared distance beyond which a document goes (the 1 - 1.5e-7 quantile of
-#: chi-square with five degrees of freedom); members that a group needs for an estimate of its own.
+#: chi-square with five degrees of freedom); members from which a group's estimate is its own alone.
 FLOOR, CUTOFF, MIN_GROUP = 0.04, 40.0, 100
 #: Integer steps of a statistic's unit.
 UNIT = 4096
+#: Name of the pool of all small groups; groups begin with a brace, pools of languages with the word.
+ALL = "all"
 SYMBOLS, N_STATS = b"#*$%&|<>", 5
 STATS = [f"q{i}" for i in range(N_STATS)]
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in SYMBOLS)
@@ -150,24 +152,59 @@ def estimate(rows: DataFrame) -> DataFrame:
     return now
 
 
+def _covariance(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.zeros((N_STATS, N_STATS))
+    for i in range(N_STATS):
+        for j in range(i, N_STATS):
+            inverse[i, j] = inverse[j, i] = row[f"{prefix}v{i}{j}"]
+    return np.array([row[f"{prefix}m{i}"] for i in range(N_STATS)]), np.linalg.inv(inverse)
+
+
+def _mixed(own: tuple[np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a group of n shrunk towards its pool; at MIN_GROUP it is the group alone. The own covariance has
+    the square of the mean's weight, since a few outliers widen that of a small group."""
+    w = min(1.0, n / MIN_GROUP)
+    gap = own[0] - pool[0]
+    return w * own[0] + (1 - w) * pool[0], w * w * own[1] + (1 - w * w) * pool[1] + w * (1 - w) * np.outer(gap, gap)
+
+
+def _shrunk(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    pool = _mixed(_covariance(row, "l_"), _covariance(row, "a_"), row["l_n"])
+    mean, cov = _mixed(_covariance(row, ""), pool, row["n"])
+    return mean, np.linalg.inv(cov)
+
+
+def group_estimates(passed: DataFrame) -> DataFrame:
+    """The estimate of each own_group of passed, whatever its size. Those of groups under MIN_GROUP are shrunk towards that
+    of all such groups of the language, this one in the same way towards that of all such groups."""
+    language = F.concat(F.lit("language "), F.to_json(F.struct(F.get_json_object("own_group", "$.l").alias("l"))))
+    sizes = stash(passed.groupBy("own_group").agg(F.count("*").alias("n")).withColumn("language", language), "quality-groups")
+    few = sizes.filter(F.col("n") < MIN_GROUP)
+    pools = passed.join(few, "own_group").select(F.explode(F.array("language", F.lit(ALL))).alias("group"), *STATS)
+    found = estimate(passed.select(F.col("own_group").alias("group"), *STATS).union(pools)).select(ESTIMATE_NAMES)
+
+    def named(frame: DataFrame, prefix: str) -> DataFrame:
+        return frame.select([F.col(c).alias(prefix + c) for c in ESTIMATE_NAMES])
+
+    by_language = few.groupBy(F.col("language").alias("l_language")).agg(F.sum("n").alias("l_n"))
+    own = found.join(few, F.col("group") == F.col("own_group")).join(by_language, F.col("language") == F.col("l_language"))
+    own = own.join(named(found, "l_"), F.col("language") == F.col("l_group")).join(named(found.filter(F.col("group") == ALL), "a_"), F.lit(True))
+    shrunk = _estimates(own, _shrunk)
+    return found.join(sizes.filter(F.col("n") >= MIN_GROUP), F.col("group") == F.col("own_group"), "left_semi").union(shrunk)
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
-    Null and empty texts have no words and fail. Null languages and sources are values of their own. Groups of
-    fewer than MIN_GROUP documents are estimated together; fewer than MIN_GROUP of these are judged by the fixed rules alone. Repeated rows
-    each count. An empty table gives an empty one. distance is null where nothing was estimated.
+    Null and empty texts have no words and fail. Null languages and sources are values of their own. Groups of every size have
+    an estimate, those of fewer than MIN_GROUP documents a shrunk one. Repeated rows each count. An empty table gives an
+    empty one. distance is null where base_failed.
     """
     rows = stash(measured(docs, id_col, text_col, lang_col, source_col), "quality-measures")
     passed = rows.filter("NOT base_failed")
-    large = stash(passed.groupBy("own_group").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_GROUP).select(F.col("own_group").alias("group")), "quality-groups")
-    grouped = rows.join(large, F.col("own_group") == F.col("group"), "left").withColumn("group", F.coalesce("group", F.lit("the rest")))
-    fitted = grouped.filter("NOT base_failed").select("group", *STATS)
-    found = estimate(fitted)
-    rest = fitted.filter("group = 'the rest'").count()
-    if rest < MIN_GROUP:
-        found = found.filter("group != 'the rest'")
+    found = group_estimates(passed)
     distance = F.when(~F.col("base_failed"), _distance())
-    out = grouped.join(found, "group", "left").withColumn("distance", distance)
+    out = rows.join(found, F.col("own_group") == F.col("group"), "left").withColumn("distance", distance)
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 

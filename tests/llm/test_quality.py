@@ -67,3 +67,13 @@ def test_edges(spark):
     assert quality.judged(none).count() == quality.drop_rejected(none).count() == 0
     odd = spark.createDataFrame([(None, None, None, None), (1, "w " * 30, "en", "s"), (1, "w " * 30, "en", "s"), (2, " ".join(map(str, range(30))), None, "s")], "doc_id long, text string, lang string, source string")
     assert sorted((r.doc_id or -1, r.n_words, r.kept) for r in quality.judged(odd).collect()) == [(-1, 0, False), (1, 30, False), (1, 30, False), (2, 30, True)]
+
+
+def test_small_tables_and_groups_are_judged(spark):
+    rng = random.Random(6)
+    n = 80
+    junk = [i % 8 == 0 for i in range(n)]
+    pdf = pd.DataFrame({"doc_id": range(n), "text": [prose(rng, j) for j in junk], "lang": [["en", None][i % 3 == 0] for i in range(n)], "source": [f"s{rng.randrange(5)}" for _ in range(n)], "n_chars": 0})
+    got = {r.doc_id: r for r in quality.judged(llm_data.frame(spark, pdf)).collect()}
+    assert all(r.distance is not None for r in got.values())
+    assert [i for i, j in enumerate(junk) if got[i].kept == j] == []
