@@ -27,11 +27,12 @@ UNSPACED = re.compile(f"[^{SPACES}]+")
 class ChunkTable:
     """Chunks by code; the ids of code c are flat[start[c] : start[c] + count[c]].
 
-    tokenise gives each chunk's ids as the bytes of unsigned 32-bit integers, which Python's garbage collector need not visit.
+    tokenise gives each chunk's ids as the bytes of unsigned 32-bit integers, which Python's garbage collector need not visit;
+    last_id is the largest id there can be.
     """
 
-    def __init__(self, tokenise: Callable[[list[str]], list[bytes]], limit: int = 300_000):
-        self.tokenise, self.limit = tokenise, limit
+    def __init__(self, tokenise: Callable[[list[str]], list[bytes]], limit: int = 300_000, last_id: int = 0xFFFFFFFF):
+        self.tokenise, self.limit, self.last_id = tokenise, limit, last_id
         self.clear()
 
     def clear(self) -> None:
@@ -232,8 +233,8 @@ class PreTokenEncoder:
         for c in chunks:
             if self.letters.fullmatch(c) and not (self.lower and not c.islower()):
                 alone.add(c)
-            elif LATIN.fullmatch(c) and not ("<|" in c and any(s in c for s in self.special)):
-                parts[c] = self.pattern.findall(c.lower() if self.lower else c)
+            elif LATIN.fullmatch(c) and LATIN.fullmatch(low := c.lower() if self.lower else c) and not ("<|" in c and any(s in c for s in self.special)):
+                parts[c] = self.pattern.findall(low)  # 23 capitals of LATIN have lower-case forms outside of it
         known, single = self.known, {}
         self.learn(list({x for own in parts.values() for x in own}.difference(known)), known)
         self.learn(list(alone), single)  # the table remembers these
@@ -251,5 +252,6 @@ def table_for(kind: str, path: str, limit: int = 400_000) -> ChunkTable:
 
             _TABLES[key] = ChunkTable(PieceModel(path).tokenise)
         else:
-            _TABLES[key] = ChunkTable(PreTokenEncoder(path).tokenise, limit)
+            encoder = PreTokenEncoder(path)
+            _TABLES[key] = ChunkTable(encoder.tokenise, limit, max(encoder.library.get_vocab().values()))
     return _TABLES[key]

@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisift.plans.storage import discard, shared_dir, stash
+from lexisift.plans.storage import discard, new_path, shared_dir, stash
 
-__all__ = ["discard", "shared_dir", "stash"]
+__all__ = ["discard", "new_path", "shared_dir", "stash"]
 
 #: Bytes of text that one step of an Arrow operator holds as Python strings.
 STEP_BYTES = 8 << 20
@@ -39,6 +39,24 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A binary key of id and text, so that rows that share an id are told apart. Keys ascend as ids do, null ids are
+    the last, whole numbers in their own order and all other ids in that of their text."""
+    whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
+    number = F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") if whole else F.concat(F.hex(F.col(id_col).cast("string")), F.lit("00"))
+    text = F.lpad(F.hex(F.xxhash64(text_of(text_col))), 16, "0")
+    return F.unhex(F.concat(F.when(F.col(id_col).isNull(), "01").otherwise(F.concat(F.lit("00"), number)), text))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows whose key is not in gone (key), with all their columns. Of rows that repeat a key one stays."""
+    rows = docs.select(F.struct("*").alias("row"), row_key(docs, id_col, text_col).alias("key"))
+    repeated = stash(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys-repeated")
+    rows = rows.join(gone, "key", "left_anti")
+    once = rows.join(repeated, "key", "left_anti")
+    return once.unionByName(rows.join(repeated, "key", "left_semi").dropDuplicates(["key"])).select("row.*")
+
+
 def give_back() -> None:
     """Returns freed memory to the system, since a Python worker goes on to other tasks."""
     pa.default_memory_pool().release_unused()

@@ -3,8 +3,8 @@
 Documents become pieces of at most ``capacity`` tokens. Each partition packs its pieces by best-fit decreasing and
 computes lower bounds on its number of bins from dual feasible functions. A partition whose count meets its bound is
 certified; it keeps its bins but the emptiest, whose documents it offers to others. A partition with a gap offers the documents
-of all its bins with free room. What was offered is dealt out anew and packed again, until nothing is gained, one
-partition alone is certified, or ROUNDS is reached. A round that gains nothing is not used.
+of all its bins with free room. What was offered is dealt out anew and packed again, as long as that gains a bin and what is
+offered is not certified as a whole; every round saves a bin at least, so it ends. A round that gains nothing is not used.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from lexisift.llm.chunk_table import chunks_in_buffer, table_for
 from lexisift.llm.common import discard, keyed, map_texts, stash
 
-#: Pieces a task packs at a time, and rounds of exchange at most.
-PIECES_A_TASK, ROUNDS = 100_000, 4
+#: Pieces a task packs at a time.
+PIECES_A_TASK = 100_000
 #: Distinct chunks that a worker remembers.
 TABLE_CHUNKS = 200_000
 
@@ -44,9 +44,14 @@ def tokenised_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The best of two families of dual feasible functions: thresholds, which count items over half a bin each in
     a bin of its own, and roundings to multiples of 1/k."""
-    if not len(lengths):
+    return bound_of(np.bincount(lengths, minlength=capacity + 1))
+
+
+def bound_of(number: np.ndarray) -> int:
+    """The same from the number of items of each length from 0 to the capacity."""
+    if not number.any():
         return 0
-    number = np.bincount(lengths, minlength=capacity + 1)
+    capacity = len(number) - 1
     size = np.arange(capacity + 1)
     n, s = np.cumsum(number), np.cumsum(number * size)
     best = -(-int(s[-1]) // capacity)
@@ -116,17 +121,19 @@ def _packed(pieces: DataFrame, capacity: int, tasks: int, turn: int) -> DataFram
     return pieces.repartition(tasks).mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint, offered boolean")
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, pieces_a_task: int = PIECES_A_TASK, rounds: int = ROUNDS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (with doc_id, piece and length from 1 to capacity, no clashing names).
+def pack(pieces: DataFrame, capacity: int = 4096, pieces_a_task: int = PIECES_A_TASK) -> DataFrame:
+    """Adds sequence_id and offset to pieces (with doc_id, piece and length from 1 to capacity; other columns may bear any
+    name, those of sequence_id, offset and offered are replaced).
 
     The driver sees three numbers a round. Repeated rows are packed once each; ties are broken by id and piece; an
     empty table gives an empty one.
     """
+    pieces = pieces.drop("sequence_id", "offset", "offered")
     done: list[DataFrame] = []
     turn = 0
     n = pieces.count()
     now = stash(_packed(pieces, capacity, max(1, -(-n // pieces_a_task)), turn), "packed-0")
-    while turn < rounds:
+    while True:
         turn += 1
         offered = now.filter("offered")
         n, bins, total = offered.agg(F.count("*"), F.count_distinct("sequence_id"), F.sum("length")).first()
@@ -145,8 +152,22 @@ def pack(pieces: DataFrame, capacity: int = 4096, pieces_a_task: int = PIECES_A_
     return out.drop("offered")
 
 
+def certificate(packed: DataFrame, capacity: int = 4096) -> DataFrame:
+    """One row: sequences, the lower bound of all pieces together, and the gap between them, which is 0 where packing is
+    certified as the best there is. The driver holds the number of pieces of each length."""
+    number = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect():
+        number[r.length] = r.n
+    bound = bound_of(number)
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences")).select("sequences", F.lit(bound).alias("bound"), (F.col("sequences") - bound).alias("gap"))
+
+
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every token of every document in one place."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every token of every document in one place.
+
+    Null and empty texts are the end id alone; null ids and rows that share an id are documents of their own; whole texts
+    are read and only those over the capacity are cut; other columns are not read. An empty table gives an empty one.
+    """
     pieces = stash(tokenised_pieces(docs, path, end_id, capacity, id_col, text_col), "pieces")
     packed = pack(pieces, capacity)
     discard(pieces)

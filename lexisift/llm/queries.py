@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexisift.llm import exact_dedup, license_scan, packing, quality, sentencepiece_codec, simhash, substring, token_count, token_store, toxicity
-from lexisift.llm.common import documents
+from lexisift.llm.common import documents, new_path
 
 
 def tokenizer(name: str) -> str:
@@ -51,7 +51,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.read_store(*token_store.write_store(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json")))
+    path = token_store.write_store(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), new_path(spark, "ids-store"))
+    return token_store.read_store(spark, path)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every document in one pass; the digests of its ids and of the decoded text."""
+    """Encodes and decodes every document in one pass; the digests of its ids and of the decoded text. Cases as in encode();
+    whole texts are read however long, other columns are not."""
 
     def step(ids: pa.Array, texts: list[str]) -> dict:
         library = model_for(path).library

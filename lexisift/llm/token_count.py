@@ -1,15 +1,18 @@
 """Token counts by rank-synchronous array merging.
 
 Distinct pre-tokens are held as one flat symbol array with a sequence number beside each symbol. In each round every
-sequence merges its pair of lowest rank (the leftmost of equals), all sequences at once, until no sequence has a
-pair left; the surviving symbols are counted. Symbols are the pieces of a sentencepiece BPE model: two neighbours may
-merge when their concatenation is a piece, and its score is the rank. Characters that are no piece count as their UTF-8 bytes.
+sequence merges its pair of lowest rank, all sequences at once, until no sequence has a pair left; the surviving
+symbols are counted. Symbols are the pieces of a sentencepiece BPE model: two neighbours may merge when their
+concatenation is a piece, and its score is the rank. Characters that are no piece count as their UTF-8 bytes.
+
+Two properties of the model, which are checked when it is read, keep the rounds of long pre-tokens few. Where no piece holds two
+characters side by side, no token crosses them, so a pre-token is cut there. Where all pieces that can be merged from a
+piece rank behind it, merges to it make no pair of a lower or the same rank, so a round takes all of them in a
+sequence, overlapping ones from the left; of other pieces it takes the leftmost only.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,8 +22,6 @@ from lexisift.llm.common import keyed, map_texts
 from lexisift.llm.sentencepiece_codec import model_for
 
 NONE = np.int64(1) << 62
-#: Longer pre-tokens merge with a heap, since a round for each of their merges would pass over all of them.
-LONG = 256
 
 
 class PairRanks:
@@ -38,7 +39,14 @@ class PairRanks:
         self.keys = np.array(sorted(found), np.int64)
         self.rank = np.array([found[int(k)][0] for k in self.keys], np.int64)
         self.made = np.array([found[int(k)][1] for k in self.keys], np.int64)
-        self.pairs = found
+        ranked = {i: order[score(i)] for i in pieces.values()}
+        self.ascending = np.ones(len(order), bool)
+        for key, (rank, _) in found.items():
+            for part in (key >> 32, key & 0xFFFFFFFF):
+                if rank <= ranked[part]:
+                    self.ascending[ranked[part]] = False
+        inside = {piece[k : k + 2] for piece in pieces for k in range(len(piece) - 1)}
+        self.inside = np.array(sorted(ord(p[0]) << 32 | ord(p[1]) for p in inside), np.int64)
         self.symbol = np.full(0x110000, -1, np.int64)
         for piece, i in pieces.items():
             if len(piece) == 1:
@@ -52,6 +60,15 @@ class PairRanks:
         return np.where(hit, self.rank[at], NONE), np.where(hit, self.made[at], -1)
 
 
+    def cuts(self, points: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        """Where a sequence begins: with a chunk, and between two characters that no piece holds side by side; the first counts 0."""
+        out = np.zeros(len(points), bool)
+        key = points[:-1] << 32 | points[1:]
+        at = np.minimum(np.searchsorted(self.inside, key), len(self.inside) - 1)
+        out[1:] = (chunk[1:] != chunk[:-1]) | (self.inside[at] != key)
+        return out
+
+
 def utf8_width(points: np.ndarray) -> np.ndarray:
     return 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
 
@@ -61,8 +78,10 @@ def count_synchronously(ranks: PairRanks, chunks: list[str]) -> np.ndarray:
     sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
     points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     symbols = ranks.symbol[points]
-    owner = np.repeat(np.arange(len(chunks)), sizes)
-    out = np.bincount(owner, np.where(symbols < 0, utf8_width(points), 1), len(chunks)).astype(np.int64)
+    chunk = np.repeat(np.arange(len(chunks)), sizes)
+    out = np.bincount(chunk, np.where(symbols < 0, utf8_width(points), 1), len(chunks)).astype(np.int64)
+    owner = np.cumsum(ranks.cuts(points, chunk))  # sequences: the parts of chunks that no token crosses
+    chunk = chunk[np.flatnonzero(np.diff(owner, prepend=-1))]
 
     def pair(left: np.ndarray, right: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, made = ranks.find(left, right)
@@ -85,9 +104,12 @@ def count_synchronously(ranks: PairRanks, chunks: list[str]) -> np.ndarray:
         lengths, lowest = lengths[live], lowest[live]
         first = np.cumsum(lengths) - lengths
         here = np.flatnonzero(rank == np.repeat(lowest, lengths))
-        at = here[np.diff(owner[here], prepend=-1) != 0]  # the leftmost of each sequence
+        leftmost = np.diff(owner[here], prepend=-1) != 0
+        run = np.flatnonzero(leftmost | (np.diff(here, prepend=-2) != 1))
+        other = (np.arange(len(here)) - np.repeat(run, np.diff(run, append=len(here)))) % 2 == 0  # of neighbours every other one
+        at = here[leftmost | other & ranks.ascending[rank[here]]]
         symbols[at] = made[at]
-        out[owner[at]] -= 1
+        np.subtract.at(out, chunk[owner[at]], 1)
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         to = np.cumsum(stay)[at] - 1  # places after the removal
@@ -98,33 +120,6 @@ def count_synchronously(ranks: PairRanks, chunks: list[str]) -> np.ndarray:
         rank[-1] = NONE
 
 
-def count_with_heap(ranks: PairRanks, chunk: str) -> int:
-    """The same for one long chunk, in n log n steps."""
-    points = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    symbols, width = ranks.symbol[points].tolist(), utf8_width(points).tolist()
-    n = len(symbols)
-    before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-    heap: list[tuple[int, int, int, int, int]] = []
-
-    def push(i: int, j: int) -> None:
-        if i >= 0 and j < n and symbols[i] >= 0 and symbols[j] >= 0 and (hit := ranks.pairs.get(symbols[i] << 32 | symbols[j])):
-            heapq.heappush(heap, (hit[0], i, j, symbols[i], symbols[j]))
-
-    for i in range(n - 1):
-        push(i, i + 1)
-    while heap:
-        _, i, j, a, b = heapq.heappop(heap)
-        if not (alive[i] and alive[j] and symbols[i] == a and symbols[j] == b and after[i] == j):
-            continue
-        symbols[i], alive[j] = ranks.pairs[a << 32 | b][1], False
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        push(before[i], i)
-        push(i, after[i])
-    return sum(width[i] if symbols[i] < 0 else 1 for i in range(n) if alive[i])
-
-
 class CountTable:
     """Counts by distinct pre-token, for one worker; emptied at ``limit`` entries."""
 
@@ -135,11 +130,9 @@ class CountTable:
         if len(self.counts) > self.limit:
             self.counts = {}
         fresh = list(set(chunks).difference(self.counts))
-        short = [c for c in fresh if len(c) <= LONG]
-        for i in range(0, len(short), 50_000):
-            some = short[i : i + 50_000]
+        for i in range(0, len(fresh), 50_000):
+            some = fresh[i : i + 50_000]
             self.counts.update(zip(some, count_synchronously(self.ranks, some).tolist(), strict=True))
-        self.counts.update((c, count_with_heap(self.ranks, c)) for c in fresh if len(c) > LONG)
         return np.fromiter(map(self.counts.__getitem__, chunks), np.int64, len(chunks))
 
 
@@ -149,7 +142,8 @@ _TABLES: dict[str, CountTable] = {}
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every document.
 
-    Null and empty texts have 0 bytes and 0 tokens. Repeated rows each have a result; an empty table gives an empty one.
+    Null and empty texts have 0 bytes and 0 tokens, whole texts are counted however long. Null ids, repeated rows and rows that share
+    an id each have a result; other columns are not read; an empty table gives an empty one.
     A model whose pieces cross the marker is counted with each whole text as one pre-token.
     """
 

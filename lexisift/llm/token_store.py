@@ -12,27 +12,31 @@ A file holds blocks. Block layout, all little-endian:
     n+3 / 4   control bytes: four lengths less one of two bits each, lowest bits first
     rest      data bytes: every rank in 1 to 4 bytes
 
-A rank is the place of an id when ids are ordered by descending frequency over all documents, then by id; the table from
-rank to id is stored beside the blocks. Documents ascend by id from shard to shard and within each. Blocks are rows of a
-Parquet table, so that a lost executor's half-written files never become part of it.
+A rank is the place of an id when ids are ordered by descending frequency over all documents, then by id. A store is a
+folder with two Parquet tables and needs nothing else to be read: ``ranks`` (rank, id, n: how often the id stands in
+the store) and ``blocks`` (shard, block, n_ids, payload: the bytes above). Documents ascend by id from shard to shard,
+from block to block and within each. Blocks are rows of a table, so that a lost executor's half-written files never become
+part of it. Texts are tokenised where they are read; only their ids are shuffled.
 """
 
 from __future__ import annotations
 
-import gc
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisift.llm.chunk_table import chunks_in_buffer, table_for
-from lexisift.llm.common import discard, give_back, keyed, slices, stash
+from lexisift.llm.common import discard, give_back, keyed, map_texts, slices, stash
 
 MAGIC, HEAD = b"LXV1", struct.Struct("<4sIQQ")
+#: Bytes of raw ids in a block, or one document if that is longer; ids of a shard, beyond which there are more shards.
+BLOCK_BYTES, SHARD_IDS = 4 << 20, 32 << 20
 #: For each control byte: its four lengths, where each value begins, and their sum.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 BEGINS = (np.cumsum(LENGTHS, axis=1) - LENGTHS).astype(np.int32)
@@ -96,70 +100,72 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return ids, none, lengths, decode_values(control, np.frombuffer(block, np.uint8, offset=at + len(control)), n), before
 
 
-def write_store(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Tokenises documents, each with the end id behind it, and writes the store; (blocks, id of each rank).
+def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Tokenises documents, each with the end id behind it, and writes the store below path, which must not exist; returns path.
 
-    Blocks have the columns shard, block, n_ids, payload. Null and empty texts are the end id alone; null document ids
-    come first; rows that share an id stand side by side. An empty table gives no blocks. The driver holds the
-    frequency of each id, at most as many as the tokenizer has.
+    Ids are whole numbers (others are an error of the cast). Null and empty texts are the end id alone, whole texts are
+    read however long; null document ids come first; rows that share an id stand side by side in the order of their
+    ids' bytes, so equal rows only can change places. Other columns are not read. An empty table gives a store without blocks. The
+    driver holds the frequency of each id, at most as many as the tokenizer has.
     """
-    ordered = keyed(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    plain = keyed(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    narrow = max(table_for("tokenizers", tokenizer).last_id, end_id) <= 0xFFFF
+    kind = "<u2" if narrow else "<u4"
 
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        gc.disable()  # as in map_texts
-        shard, before = TaskContext.get().partitionId(), 0
-        for block, (ids, texts) in enumerate(slices(batches)):
-            flat, starts = table_for("tokenizers", path).encode_distinct(*chunks_in_buffer(texts, spaced=True))
-            flat = np.insert(flat, starts[1:], end_id)
-            lengths = np.diff(starts) + 1
-            number = np.bincount(flat)
-            seen = np.flatnonzero(number)
-            wide = bool(len(flat)) and int(flat.max()) > 0xFFFF
-            yield pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "before": pa.array([before], pa.int64()), "doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-                "lengths": pa.array([lengths], pa.list_(pa.int64())), "width": pa.array([4 if wide else 2], pa.int32()), "ids": pa.array([flat.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
-                "seen": pa.array([seen], pa.list_(pa.int64())), "times": pa.array([number[seen]], pa.list_(pa.int64())),
-            })
-            before += len(flat)
-        gc.enable()
-        give_back()
+    def tokenise(ids: pa.Array, texts: pa.Array) -> dict:
+        flat, starts = table_for("tokenizers", tokenizer).encode_distinct(*chunks_in_buffer(texts, spaced=True))
+        data = np.insert(flat, starts[1:], end_id).astype(kind)
+        ends = (starts + np.arange(len(starts))) * data.itemsize
+        return {"doc_id": ids, "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())}
 
-    raw = stash(ordered.mapInArrow(tokenise, "shard int, block int, before bigint, doc_ids array<bigint>, lengths array<bigint>, width int, ids binary, seen array<bigint>, times array<bigint>"), "ids-raw", "snappy")
+    raw = stash(map_texts(plain, tokenise, "doc_id bigint, ids binary", arrow=True), "ids-raw")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            ids, times = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
-            own = np.zeros(max(len(total), int(ids.max(initial=-1)) + 1), np.int64)
-            own[: len(total)] = total
-            np.add.at(own, ids, times)
+            own = np.bincount(_values(batch.column(0), kind), minlength=len(total))
+            own[: len(total)] += total
             total = own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
 
-    counts = raw.select("seen", "times").mapInArrow(frequencies, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    id_of = np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], np.int64)
-    rank_of = np.zeros(int(id_of.max(initial=0)) + 1, np.uint32)
-    rank_of[id_of] = np.arange(len(id_of))
+    counts = sorted(raw.select("ids").mapInArrow(frequencies, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect(), key=lambda r: (-r.n, r.id))
+    spark = docs.sparkSession
+    spark.createDataFrame([(rank, r.id, r.n) for rank, r in enumerate(counts)], "rank int, id bigint, n bigint").coalesce(1).write.parquet(f"{path}/ranks")
+    rank_of = np.zeros(max((r.id for r in counts), default=0) + 1, np.uint32)
+    rank_of[[r.id for r in counts]] = np.arange(len(counts))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r.n for r in counts) // SHARD_IDS))
+    ordered = raw.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ranks = rank_of[np.frombuffer(row["ids"], f"<u{row['width']}")]
-                payload = pack_block(pa.array(row["doc_ids"], pa.int64()), np.array(row["lengths"]), ranks, row["before"])
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([row["shard"]], pa.int32()), "block": pa.array([row["block"]], pa.int32()), "n_ids": [len(ranks)], "payload": [payload]})
+        from pyspark import TaskContext
 
-    blocks = stash(raw.drop("seen", "times").mapInArrow(encode, "shard int, block int, n_ids bigint, payload binary"), "ids-store")
+        shard, block, before = TaskContext.get().partitionId(), 0, 0
+        for ids, own in slices(batches, BLOCK_BYTES):
+            flat = _values(own, kind)
+            lengths = pc.binary_length(own).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
+            payload = pack_block(ids, lengths, rank_of[flat], before)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([len(flat)], pa.int64()), "payload": pa.array([payload], pa.binary())})
+            block, before = block + 1, before + len(flat)
+        give_back()
+
+    ordered.mapInArrow(encode, "shard int, block int, n_ids bigint, payload binary").write.parquet(f"{path}/blocks")
     discard(raw)
-    return blocks, id_of
+    return path
+
+
+def _values(column: pa.Array, kind: str) -> np.ndarray:
+    """The ids of all rows of a binary column, one after the other."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
 
 
-def read_store(blocks: DataFrame, id_of: np.ndarray) -> DataFrame:
-    """Per document from the files: doc_id, start, n_tokens, ids_crc32. The driver holds one number a shard."""
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """Per document from the files below path alone: doc_id, start, n_tokens, ids_crc32. The driver holds one number a
+    shard and the table of ranks."""
+    blocks = spark.read.schema("shard int, block int, n_ids bigint, payload binary").parquet(f"{path}/blocks")
+    id_of = np.array([r.id for r in spark.read.schema("rank int, id bigint").parquet(f"{path}/ranks").orderBy("rank").collect()], np.int64)
     sizes = {r.shard: r.n for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}
     begins, total = {}, 0
     for shard in sorted(sizes):
