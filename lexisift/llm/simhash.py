@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.common import discard, keyed, map_texts, stash, whole_groups
+from lexisift.llm import similar
+from lexisift.llm.common import discard, keyed, map_texts, row_key, stash, whole_groups, without
 from lexisift.llm.components import components
 
 #: Seed of the hash, bits that may differ, and fingerprints of a key that one task compares.
@@ -104,26 +105,35 @@ def links(distinct: DataFrame, distance: int = DISTANCE, key_rows: int = KEY_ROW
     rows = rows.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("kind", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp", "rep")
     names = ["kind", "value", "p", "q"]
+    kind = dict(distinct.dtypes)["rep"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}  # of the links that this task has found, so that it returns a forest
+        root: dict = {}  # of the links that this task has found, so that it returns a forest
 
-        def find(x: int) -> int:
+        def find(x):
             while (up := root.setdefault(x, x)) != x:
                 root[x] = x = root[up]
             return x
 
         for table, begins in whole_groups(batches, names):
-            reps = table["rep"].to_numpy()
+            reps = table["rep"].combine_chunks()
             i, j = close_pairs(table["fp"].to_numpy().view(np.uint64), begins, distance)
-            for a, b in zip(reps[i].tolist(), reps[j].tolist(), strict=True):
+            for a, b in zip(reps.take(pa.array(i)).to_pylist(), reps.take(pa.array(j)).to_pylist(), strict=True):
                 a, b = find(a), find(b)
                 if a != b:
                     root[max(a, b)] = min(a, b)
         nodes = [x for x, up in root.items() if x != up]
-        yield pa.RecordBatch.from_pydict({"a": pa.array(nodes, pa.int64()), "b": pa.array(map(find, nodes), pa.int64())})
+        out = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}.get(kind, pa.string())
+        yield pa.RecordBatch.from_pydict({"a": pa.array(nodes, out), "b": pa.array(map(find, nodes), out)})
 
-    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(link, "a bigint, b bigint")
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(link, f"a {kind}, b {kind}")
+
+
+def classes(marked: DataFrame, id_col: str, distance: int) -> DataFrame:
+    """fp2 and component of every fingerprint of marked (id_col, fp): the smallest id reachable by links."""
+    distinct = stash(marked.groupBy("fp").agg(F.min(id_col).alias("rep")), "simhash-distinct")
+    found = stash(components(links(distinct.filter("rep IS NOT NULL"), distance)), "simhash-components")
+    return stash(distinct.join(found, distinct.rep == found.node, "left").select(F.col("fp").alias("fp2"), F.coalesce("component", "rep").alias("component_id")), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,17 +142,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE,
     Words are runs without ASCII white space, A to Z in lower case. Documents whose fingerprints differ in at most
     ``distance`` bits are linked; component_id is the smallest id reachable. Null and empty texts have
     fingerprint 0, which links like any other. Rows that repeat an id have each a row. A null id names no component:
-    a group of such documents alone has a null one. An empty table gives an empty one.
+    a group of such documents alone has a null one. Ids are whole numbers or strings; whole texts are read, however
+    long, and other columns are not. An empty table gives an empty one.
     """
     marked = stash(fingerprints(docs, shingle, id_col, text_col), "simhash-fingerprints")
-    distinct = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    found = stash(components(links(distinct.filter("rep IS NOT NULL"), distance)), "simhash-components")
-    classes = stash(distinct.join(found, distinct.rep == found.node, "left").select(F.col("fp").alias("fp2"), F.coalesce("component", "rep").alias("component_id")), "simhash-classes")
-    return marked.join(classes, F.col("fp") == F.col("fp2"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = classes(marked, "doc_id", distance)
+    return marked.join(found, F.col("fp") == F.col("fp2"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, one of each group (that with the smallest id), with all their columns, which may bear any name.
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each group (that with the smallest id), with all their columns. Documents without
-    an id stay. Rows that repeat the id that stays all stay."""
-    gone = stash(near_duplicates(docs, shingle, distance, id_col, text_col).filter("doc_id != component_id").select(F.col("doc_id").alias("__lx_gone")).distinct(), "simhash-gone")
-    return docs.join(gone, F.col(id_col) == F.col("__lx_gone"), "left_anti")
+    With ``similarity`` the groups are those of all documents linked by a Jaccard index of their sets of ``shingle``-word
+    shingles of at least so much, which lies far beyond three bits; links are then found as in the module ``similar``. A
+    document is a row: rows that share an id are judged by their own texts, null ids come last, of rows equal in id
+    and text one stays. Null and empty texts are equal to each other. An empty table gives an empty one.
+    """
+    rows = docs.select(row_key(docs, id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if similarity is not None:
+        found = components(similar.links(keyed(rows, "doc_id", "text"), similarity, shingle))
+        gone = found.filter("node != component").select(F.col("node").alias("key")).distinct()
+    else:
+        marked = stash(fingerprints(rows, shingle), "simhash-fingerprints")
+        joined = marked.join(classes(marked, "doc_id", distance), F.col("fp") == F.col("fp2"))
+        gone = joined.filter("doc_id != component_id").select(F.col("doc_id").alias("key")).distinct()
+    return without(docs, stash(gone, "near-gone"), id_col, text_col)

@@ -15,7 +15,8 @@ is cut into shards by content and each passage meets only the shard it can match
 5. Where a pair of keys has too many segments still, its windows are spread out by their own hash, and each finds its
    first document there.
 
-Word hashes are 64 bits wide and windows are told apart by 128 bits.
+Word hashes are 64 bits wide and windows are told apart by 128 bits. Spans belong to a row, by its id and a hash of its
+text (rk), since rows may share an id.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.common import discard, keyed, map_texts, stash, whole_groups
+from lexisift.llm.common import discard, map_texts, stash, text_of, whole_groups
 from lexisift.llm.common import parts as parts_of
 
 SEED, LONG_SEED, SHARD_ROWS = 16, 40, 512
@@ -86,7 +87,7 @@ def window_keys(rolling: Rolling, begin: int, end: int, window: int, seed: int)
 
 
 def segments(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, key, two hashes, first window and number of windows of every segment."""
+    """doc_id, rk, key, two hashes, first window and number of windows of every segment."""
 
     def step(ids: pa.Array, texts: list[str]) -> dict:
         rows, out = [], []
@@ -102,9 +103,11 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
             rows.append(np.full(len(first), row))
             out.append((keys[first].view(np.int64), rolling.of(0, first, end).view(np.int64), rolling.of(1, first, end).view(np.int64), first.astype(np.int32), number.astype(np.int32)))
         key, one, two, first, number = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32))
-        return {"doc_id": ids.take(pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))), "key": key, "h1": one, "h2": two, "at": first, "n": number}
+        return {"row": ids.take(pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))), "key": key, "h1": one, "h2": two, "at": first, "n": number}
 
-    return map_texts(docs, step, f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint, h1 bigint, h2 bigint, at int, n int")
+    names = ["row", "key", "h1", "h2", "at", "n"]
+    found = map_texts(docs.select(F.struct("doc_id", "rk").alias("row"), "text"), step, f"row struct<doc_id: {dict(docs.dtypes)['doc_id']}, rk: bigint>, key bigint, h1 bigint, h2 bigint, at int, n int", names)
+    return found.select("row.doc_id", "row.rk", *names[1:])
 
 
 class Automaton:
@@ -170,7 +173,8 @@ def runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, window: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, at, n: the runs of windows (n from window at on) that also start in a document with a smaller id."""
+    """doc_id, rk, at, n: the runs of windows (n from window at on) that also start in a document with a smaller id. docs has
+    doc_id, rk and text."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = stash(segments(docs.filter("doc_id IS NOT NULL"), window), "segments")
     same = ["key", "h1", "h2", "n"]
@@ -178,41 +182,41 @@ def repeated_windows(docs: DataFrame, window: int, shard_rows: int = SHARD_ROWS)
     keys = distinct.groupBy("key").agg(F.count("*").alias("others"), F.min("first").alias("f"), F.max("last").alias("l")).filter("others > 1 AND f < l").select("key", "others")
     asked = stash(distinct.join(keys, "key", "left").filter("last > first OR others > 1").drop("last"), "segments-asked")
     discard(distinct)
-    found = stash(rows.join(asked, same).select("doc_id", "key", "at", "n", "others", (F.col("doc_id") > F.col("first")).alias("later")).filter("later OR others > 1"), "segments-found")
+    found = stash(rows.join(asked, same).select("doc_id", "rk", "key", "at", "n", "others", (F.col("doc_id") > F.col("first")).alias("later")).filter("later OR others > 1"), "segments-found")
     discard(rows, asked)
-    whole = found.filter("later").select("doc_id", "at", "n")
+    whole = found.filter("later").select("doc_id", "rk", "at", "n")
 
-    edges = found.filter("not later").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n", "others")).alias("own")).withColumnRenamed("doc_id", "edge_id").hint("merge")
-    with_text = docs.join(edges, F.col("doc_id") == F.col("edge_id")).select("doc_id", "text", "own")
+    edges = found.filter("not later").groupBy("doc_id", "rk").agg(F.collect_list(F.struct("key", "at", "n", "others")).alias("own")).hint("merge")
+    with_text = docs.dropna(subset=["doc_id"]).join(edges, ["doc_id", "rk"]).select("doc_id", "rk", "text", "own")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words of segments, those of common keys cut by the second key."""
-        for batch in parts_of(batches):
+        for batch in parts_of(batches, 2):
             out: list[tuple] = []
-            offsets, keys, places, numbers, others = lists(batch.column(2), 4)
-            for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+            offsets, keys, places, numbers, others = lists(batch.column(3), 4)
+            for row, (doc_id, rk, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 hashes = word_hashes(words_of(text.as_py()))
                 rolling = None
                 for i in range(offsets[row], offsets[row + 1]):
                     key, at, n = int(keys[i]), int(places[i]), int(numbers[i])
                     if others[i] <= shard_rows:
-                        out.append((doc_id, key, 0, at, hashes[at : at + n + window - 1].tobytes()))
+                        out.append((doc_id, rk, key, 0, at, hashes[at : at + n + window - 1].tobytes()))
                         continue
                     rolling = rolling or Rolling(hashes)
                     more = window_keys(rolling, at, at + n + window - 1, window, LONG_SEED).view(np.int64)
                     first = np.flatnonzero(np.concatenate([[True], more[1:] != more[:-1]]))
                     for k, size in zip(first.tolist(), np.diff(first, append=n).tolist(), strict=True):
-                        out.append((doc_id, key, int(more[k]), at + k, hashes[at + k : at + k + size + window - 1].tobytes()))
+                        out.append((doc_id, rk, key, int(more[k]), at + k, hashes[at + k : at + k + size + window - 1].tobytes()))
             if out:
-                doc_id, key, more, at, words = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id, batch.column(0).type), pa.array(key, pa.int64()), pa.array(more, pa.int64()), pa.array(at, pa.int32()), pa.array(words, pa.binary())], names=["doc_id", "key", "more", "at", "words"])
+                doc_id, rk, key, more, at, words = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id, batch.column(0).type), pa.array(rk, pa.int64()), pa.array(key, pa.int64()), pa.array(more, pa.int64()), pa.array(at, pa.int32()), pa.array(words, pa.binary())], names=["doc_id", "rk", "key", "more", "at", "words"])
 
-    parts = stash(with_text.mapInArrow(read, f"doc_id {kind}, key bigint, more bigint, at int, words binary"), "segments-words")
+    parts = stash(with_text.mapInArrow(read, f"doc_id {kind}, rk bigint, key bigint, more bigint, at int, words binary"), "segments-words")
     common = stash(parts.groupBy("key", "more").agg(F.count("*").alias("others")).filter(F.col("others") > shard_rows).drop("others"), "keys-common")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begins in whole_groups(batches, ["key", "more"]):
-            out_id, out_at, out_n = [], [], []
+            out_row, out_at, out_n = [], [], []
             ids, places, words = table["doc_id"].to_pylist(), table["at"].to_pylist(), table["words"].to_pylist()
             for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                 automaton, waiting = Automaton(), []
@@ -225,34 +229,35 @@ def repeated_windows(docs: DataFrame, window: int, shard_rows: int = SHARD_ROWS)
                     waiting.append(own)
                     if len(automaton.next) > 1 and (hit := np.flatnonzero(np.array(automaton.statistics(own)) >= window) - window + 1).size:
                         at, n = runs(hit)
-                        out_id += [ids[i]] * len(at)
+                        out_row += [i] * len(at)
                         out_at.append(at + places[i])
                         out_n.append(n)
-            if out_id:
-                yield pa.RecordBatch.from_arrays([pa.array(out_id, table["doc_id"].type), pa.array(np.concatenate(out_at), pa.int32()), pa.array(np.concatenate(out_n), pa.int32())], names=["doc_id", "at", "n"])
+            if out_row:
+                yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks().take(pa.array(out_row)) for c in ("doc_id", "rk")), pa.array(np.concatenate(out_at), pa.int32()), pa.array(np.concatenate(out_n), pa.int32())], names=["doc_id", "rk", "at", "n"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, at, words in zip(*(batch.column(i) for i in range(2)), batch.column(2).to_pylist(), strict=True):
+            for row, (at, words) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
                 hashes = np.frombuffer(words, np.uint64)
                 rolling, begin = Rolling(hashes), np.arange(len(hashes) - window + 1)
                 one, two = (rolling.of(k, begin, begin + window).view(np.int64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(begin), batch.column(0).type), pa.array(at.as_py() + begin, pa.int32()), pa.array(one), pa.array(two)], names=["doc_id", "at", "h1", "h2"])
+                same_row = pa.array(np.full(len(begin), row))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(same_row), batch.column(1).take(same_row), pa.array(at.as_py() + begin, pa.int32()), pa.array(one), pa.array(two)], names=["doc_id", "rk", "at", "h1", "h2"])
 
-    shards = parts.join(common, ["key", "more"], "left_anti").select("key", "more", "doc_id", "at", "words")
-    matched = shards.repartition("key", "more").sortWithinPartitions("key", "more", "doc_id", "at").mapInArrow(match, f"doc_id {kind}, at int, n int")
-    spread = stash(parts.join(common, ["key", "more"], "left_semi").select("doc_id", "at", "words").mapInArrow(windows, f"doc_id {kind}, at int, h1 bigint, h2 bigint"), "windows")
+    shards = parts.join(common, ["key", "more"], "left_anti").select("key", "more", "doc_id", "rk", "at", "words")
+    matched = shards.repartition("key", "more").sortWithinPartitions("key", "more", "doc_id", "rk", "at").mapInArrow(match, f"doc_id {kind}, rk bigint, at int, n int")
+    spread = stash(parts.join(common, ["key", "more"], "left_semi").select("doc_id", "rk", "at", "words").mapInArrow(windows, f"doc_id {kind}, rk bigint, at int, h1 bigint, h2 bigint"), "windows")
     firsts = stash(spread.groupBy("h1", "h2").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l")).filter("f < l").drop("l"), "windows-first")
-    spread = spread.join(firsts, ["h1", "h2"]).filter("doc_id > f").select("doc_id", "at", F.lit(1).alias("n"))
+    spread = spread.join(firsts, ["h1", "h2"]).filter("doc_id > f").select("doc_id", "rk", "at", F.lit(1).alias("n"))
     return whole.union(matched).union(spread)
 
 
 def _cut(docs: DataFrame, window: int, shard_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and spans: the words that go, as an array of (at, n) of windows."""
-    plain = keyed(docs, id_col, text_col)
-    spans = repeated_windows(plain, window, shard_rows).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("__lx_spans"))
+    """Every row as a struct, and spans: the words that go, as an array of (at, n) of windows (null for none)."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("rk"), text_of(text_col).alias("text"))
+    spans = repeated_windows(rows.drop("row"), window, shard_rows).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     # the spans of a corpus are shuffled like its texts, at every size
-    return stash(spans.withColumnRenamed("doc_id", "__lx_id"), "spans").hint("merge")
+    return rows.drop("text").join(stash(spans, "spans").hint("merge"), ["doc_id", "rk"], "left").select("row", "spans")
 
 
 def lists(column: pa.Array, width: int) -> tuple[np.ndarray, ...]:
@@ -287,11 +292,11 @@ def removal_digests(docs: DataFrame, window: int = 50, shard_rows: int = SHARD_R
     """One row a document: doc_id, n_words, n_removed, kept_sha256 (of the words that stay, with one blank between).
 
     Words are runs without ASCII white space. Null and empty texts have no words. Repeats within a document, and
-    between rows with one id, stay; documents with a null id are neither reference nor cut. An empty table gives an empty one.
+    between rows with one id, stay, whatever their texts; each row is cut by its own text. Documents with a null id are neither
+    reference nor cut. Texts of any length are read whole; other columns are not read. An empty table gives an empty one.
     """
-    spans = _cut(docs, window, shard_rows, id_col, text_col)
-    plain = keyed(docs, id_col, text_col)
-    joined = plain.join(spans, F.col("doc_id") == F.col("__lx_id"), "left").select("doc_id", "text", "__lx_spans")
+    plain = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    joined = _cut(plain, window, shard_rows, "doc_id", "text").select("row.doc_id", "row.text", "spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
@@ -306,11 +311,12 @@ def removal_digests(docs: DataFrame, window: int = 50, shard_rows: int = SHARD_R
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
-    """The documents with the repeated words cut out and all their columns. Uncut texts stay as they are, cut ones have one
-    blank between words; size_col, if given, gets the new number of code points. Cases as in removal_digests()."""
-    spans = _cut(docs, window, shard_rows, id_col, text_col)
-
-    joined = docs.join(spans, F.col(id_col) == F.col("__lx_id"), "left").select(*docs.columns, "__lx_spans")
+    """The documents with the repeated words cut out and all their columns, which may bear any name. Uncut texts stay as
+    they are, cut ones have one blank between words; size_col, if given, gets the new number of code points. Cases as in
+    removal_digests()."""
+    joined = _cut(docs, window, shard_rows, id_col, text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    joined = joined.select(*[F.col("row").getField(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], "spans")
     at, sized = docs.columns.index(text_col), docs.columns.index(size_col) if size_col else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +331,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, shard_rows: int = SHARD_RO
                 columns[at] = pa.array(texts, columns[at].type)
                 if sized is not None:
                     columns[sized] = pc.if_else(hit, pc.utf8_length(columns[at]).cast(columns[sized].type), columns[sized])
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(cut, joined.drop("spans").schema).toDF(*docs.columns)

@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 
 from lexisift.llm import simhash
+from lexisift.llm.common import row_key
 from lexisift.llm.components import components
 
 
@@ -83,4 +84,25 @@ def test_edges_and_dropping(spark):
     odd = spark.createDataFrame([(None, "a b c"), (4, "A b c"), (2, "a b\tc"), (9, None), (8, ""), (None, "x y z w"), (2, "a b c")], "doc_id long, text string")
     got = sorted(((r.doc_id or -1), (r.component_id or -1)) for r in simhash.near_duplicates(odd).collect())
     assert got == [(-1, -1), (-1, 2), (2, 2), (2, 2), (4, 2), (8, 8), (9, 8)]
-    assert sorted((r.doc_id or -1) for r in simhash.drop_near_duplicates(odd).collect()) == [-1, -1, 2, 2, 8]
+    for how in ({}, {"shingle": 5, "similarity": 0.8}):
+        left = sorted((r.doc_id or -1) for r in simhash.drop_near_duplicates(odd, **how).collect())
+        assert left == ([-1, 2, 8] if not how else [-1, 2, 8]), how
+
+
+def test_string_ids_and_shared_ids(spark):
+    rng = random.Random(2)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(120)) for _ in range(3))
+    docs = spark.createDataFrame([("x1", a, 0), ("x2", a.replace(" ", "\n"), 1), ("x2", b, 2), ("x3", b, 3), ("x3", c, 4), (None, c, 5), ("x3", c, 4)], "doc_id string, text string, key int")
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == 7 and {r.component_id for r in got} == {"x1", "x2", "x3"}
+    for how in ({}, {"shingle": 5, "similarity": 0.8}):
+        out = simhash.drop_near_duplicates(docs, **how)
+        assert out.columns == docs.columns and sorted(r.key for r in out.collect()) == [0, 2, 4], how
+
+
+def test_keys_ascend_as_ids_do(spark):
+    ids = [-(1 << 63), -5, -1, 0, 1, 7, 1 << 40, (1 << 63) - 1, None]
+    docs = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+    assert [r.doc_id for r in docs.orderBy(row_key(docs, "doc_id", "text")).collect()] == ids
+    docs = spark.createDataFrame([(i, "t") for i in ("", "a", "ab", "b", None)], "doc_id string, text string")
+    assert [r.doc_id for r in docs.orderBy(row_key(docs, "doc_id", "text")).collect()] == ["", "a", "ab", "b", None]

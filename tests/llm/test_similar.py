@@ -3,7 +3,7 @@ import random
 import llm_data
 import numpy as np
 
-from lexisift.llm import similar
+from lexisift.llm import similar, simhash
 from lexisift.llm.components import components
 
 
@@ -46,9 +46,10 @@ def test_stage_drops_what_all_pairs_find(spark):
     expected = {i for i, c in slow_components(texts).items() if i == c}
     assert 20 < len(expected) < len(texts) - 20
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id for r in similar.drop_similar(docs).collect()} == expected
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs, shingle=5, similarity=0.8).collect()} == expected
+    keyed = docs.withColumn("doc_id", similar.F.unhex(similar.F.lpad(similar.F.hex("doc_id"), 16, "0")))
     for key_shingles in (10**6, 300):
-        found = {r.node: r.component for r in components(similar.links(docs, key_shingles=key_shingles)).collect()}
+        found = {int.from_bytes(r.node): int.from_bytes(r.component) for r in components(similar.links(keyed, key_shingles=key_shingles)).collect()}
         assert {i for i in texts if found.get(i, i) == i} == expected
 
 
@@ -69,11 +70,9 @@ def test_near_stage_of_the_pipeline_goes_beyond_three_bits(spark):
 
 def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert similar.drop_similar(none).count() == 0
-    odd = spark.createDataFrame([(None, "a b c"), (4, "A b c"), (2, "a b\tc"), (9, None), (8, ""), (2, "a b c")], "doc_id long, text string")
-    assert sorted((r.doc_id or -1) for r in similar.drop_similar(odd).collect()) == [-1, 2, 2, 8]
+    assert simhash.drop_near_duplicates(none, shingle=5, similarity=0.8).count() == 0
     pdf = llm_data.rows()
     expected = slow_components(dict(zip(pdf.doc_id, pdf.text)))
-    assert {r.doc_id for r in similar.drop_similar(llm_data.frame(spark, pdf)).collect()} == {i for i, c in expected.items() if i == c}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(llm_data.frame(spark, pdf), shingle=5, similarity=0.8).collect()} == {i for i, c in expected.items() if i == c}
     assert all(len(similar.shingles(t or "")) == len(slow_set(t)) for t in pdf.text)
     assert np.array_equal(similar.shingles(""), similar.shingles(" \n"))

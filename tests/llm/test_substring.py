@@ -80,6 +80,20 @@ def test_automaton_statistics():
         assert a.statistics(asked) == expected
 
 
+def test_rows_that_share_an_id_are_cut_by_their_own_text(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(5000)]
+    shared, alone, more = ([rng.choice(words) for _ in range(80)] for _ in range(3))
+    rows = [(1, shared), (2, shared[:70]), (2, alone), (2, more[:10] + shared + more), (2, more[:3]), (3, alone), (3, None)]
+    frame = [(d, " ".join(t) if t else None) for d, t in rows]
+    for shard_rows in (512, 1):
+        docs = spark.createDataFrame(frame, "doc_id long, text string").withColumn("row", substring.F.lit(0)).withColumn("rk", substring.F.lit("x"))
+        got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.removal_digests(docs, shard_rows=shard_rows).collect())
+        assert got == sorted([(1, 80, 0), (2, 70, 70), (2, 80, 0), (2, 170, 80), (2, 3, 0), (3, 80, 80), (3, 0, 0)])
+        out = substring.remove_repeats(docs, shard_rows=shard_rows)
+        assert out.columns == docs.columns and len(out.collect()) == len(rows)
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string, spans int")
     assert substring.removal_digests(none).count() == substring.remove_repeats(none).count() == 0
