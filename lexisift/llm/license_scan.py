@@ -1,5 +1,8 @@
 """License scans by patience alignment of documents with license templates.
 
+A finding is a place in a text where at least COVERAGE of a template's words stand in order, all of them within SPREAD template
+lengths of one of its rare words; words of a template that are further apart make no notice.
+
 Words that occur once in the text and once in the template are anchors; the longest run of anchors that ascends in both is
 kept, and the gaps between them are aligned in the same way. Where a gap has no such word, equal words at its
 edges are taken. Coverage is the share of the template's words that are aligned.
@@ -21,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from lexisift.llm.common import keyed, map_texts
 
-#: Least share of a template's words that makes a finding.
-COVERAGE = 0.8
+#: Least share of a template's words that makes a finding, and how far these may lie from a rare one among them, in lengths of the template.
+COVERAGE, SPREAD = 0.8, 6.0
 #: Names and texts of public license notices.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -108,8 +111,8 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
 class Scanner:
     """Templates, ready to be looked for."""
 
-    def __init__(self, templates: list[tuple[str, str]], coverage: float):
-        self.coverage = coverage
+    def __init__(self, templates: list[tuple[str, str]], coverage: float, spread: float = SPREAD):
+        self.coverage, self.spread = coverage, spread
         self.templates = [(name, own, Counter(own)) for name, text in templates if (own := words_of(text))]
 
     def findings(self, words: list[bytes]) -> list[tuple[str, int, float, int, int]]:
@@ -136,7 +139,7 @@ class Scanner:
                 missing += counts[w]
                 if missing > spare:
                     break
-            reach, end = 2 * len(template), -1
+            reach, end = int(self.spread * len(template)), -1
             for at in sorted(i for w in chosen for i in places[w]):
                 if at < end:
                     continue
@@ -154,7 +157,7 @@ class Scanner:
 
     def single(self, words: list[bytes], template: list[bytes], counts: Counter, places: dict[bytes, list[int]], spare: int, most: int, best: tuple[int, int, int] | None) -> tuple[int, int, int] | None:
         """The best of best and the alignments of regions that hold about one copy; most: no alignment has more words."""
-        reach = 2 * len(template)
+        reach = int(self.spread * len(template))
         done: set[tuple[int, int]] = set()
         for w, own in places.items():
             n = counts[w]
@@ -180,19 +183,20 @@ class Scanner:
         return best
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, coverage: float = COVERAGE, spread: float = SPREAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, license (that with most aligned words, then the first name; null if none), n_matched,
     coverage, first_word, end_word (places of words in the text), n_licenses, licenses (all names, best first).
 
     Words are runs of letters and digits, ASCII in lower case. Null, empty and wordless texts have no license.
-    Repeated rows each have a result; an empty table gives an empty one. Whole texts are scanned, however long.
+    Null ids, repeated rows and rows that share an id each have a result; other columns are not read; an empty table gives an
+    empty one. Whole texts are scanned, however long.
     """
     held: list[Scanner] = []
     given = TEMPLATES if templates is None else templates
 
     def step(ids: pa.Array, texts: list[str]) -> dict:
         if not held:
-            held.append(Scanner(given, coverage))
+            held.append(Scanner(given, coverage, spread))
         found = [held[0].findings(words_of(x)) for x in texts]
         best = [f[0] if f else (None, 0, 0.0, None, None) for f in found]
         return {

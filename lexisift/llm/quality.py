@@ -1,10 +1,16 @@
 """Quality rules: fixed rules first, then robust multivariate outliers for each language and source.
 
-Every document that passes the fixed rules gives a vector of five transformed statistics. For each language and source
-the minimum-covariance-determinant estimate is found by concentration steps: from coordinatewise medians and
-quartiles, the mean and covariance of the closest three quarters are taken again and again. A document whose squared
-Mahalanobis distance exceeds CUTOFF goes. Statistics are integers and all sums of them exact, so the estimates do not depend on
-partitions; every document counts, and a step gathers one row a group and distance bin before anything is shuffled.
+Every document that passes the fixed rules gives a vector of five transformed statistics. For each language and source, each
+language and all documents the minimum-covariance-determinant estimate is found by concentration steps: from several
+robust starts (medians with quartiles, the shortest half and the shortest quarter of every statistic) the mean and covariance
+of the closest half are taken again and again until the determinant falls no more; the start with the least determinant
+counts, and what lies within its 0.975 quantile gives the final mean and covariance. Up to almost half of a group may be
+outliers. An estimate is mixed with that of its pool, the language's and then all documents', the more the smaller the group
+is, so groups of every size are judged alike. A document whose squared Mahalanobis distance exceeds CUTOFF goes.
+
+Statistics are integers and all sums of them exact, so the estimates do not depend on partitions, and every document counts.
+A step counts documents by group and bin of distance, finds the bin where the half ends, of which a fraction counts, and then sums the
+documents up to it: what is shuffled is combined before, and no task sees more than the bins of a group.
 """
 
 from __future__ import annotations
@@ -17,23 +23,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lexisift.llm.common import discard, map_texts, stash, text_of
+from lexisift.llm.common import discard, map_texts, stash, text_of, whole_groups
 from lexisift.llm.substring import Rolling
 
 #: Fixed rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
-#: Part of a group that the estimate rests on; what makes its covariance that of the whole under normality with five statistics.
-SUPPORT, CONSISTENCY, STEPS = 0.75, 1.41, 4
+#: Quantile 0.975 of chi-square with five degrees of freedom; what makes covariances of the closest half, and of what lies within
+#: that quantile, those of the whole under normality.
+WITHIN, HALF_FACTOR, WITHIN_FACTOR = 12.832, 1.912, 1.0553
 #: Smallest standard deviation of a statistic; squared distance beyond which a document goes (the 1 - 1.5e-7 quantile of
-#: chi-square with five degrees of freedom); members from which a group's estimate is its own alone.
-FLOOR, CUTOFF, MIN_GROUP = 0.04, 40.0, 100
-#: Integer steps of a statistic's unit.
-UNIT = 4096
-#: Name of the pool of all small groups; groups begin with a brace, pools of languages with the word.
-ALL = "all"
+#: chi-square with five degrees of freedom); members at which half of a group's mean is its own, the rest that of its pool.
+FLOOR, CUTOFF, SHRINK = 0.04, 40.0, 50
+#: Integer steps of a statistic's unit; width of a bin of a statistic in these; bins for each factor e of a squared distance; fall
+#: of the logarithm of a determinant below which a start has converged; estimates that are broadcast at most.
+UNIT, STEP, BINS, FALL, BROADCAST_GROUPS = 4096, 16, 64, 0.01, 100_000
 SYMBOLS, N_STATS = b"#*$%&|<>", 5
 STATS = [f"q{i}" for i in range(N_STATS)]
+PAIRS = [(i, j) for i in range(N_STATS) for j in range(i, N_STATS)]
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in SYMBOLS)
 SPACE = b"\t\n\x0b\x0c\r "
 
@@ -75,38 +83,49 @@ def measures(text: str) -> tuple[int, ...]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, *(int(np.clip(round(float(s) * UNIT), -65_536, 65_536)) for s in stats)
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """doc_id, group, the contract's counts, base_failed and the statistics of every document."""
+def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, whole: bool) -> DataFrame:
+    """Every row as a struct (if whole is asked for), doc_id, own_group, the contract's counts, base_failed and the statistics."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *STATS]
     key = F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s")))
-    # the group travels in the id, so that a step reads two columns
-    plain = docs.select(F.struct(F.col(id_col).alias("doc_id"), key.alias("own_group")).alias("k"), text_of(text_col).alias("text"))
+    # all that a row keeps travels in one column
+    plain = docs.select(F.struct((F.struct("*") if whole else F.lit(0)).alias("row"), F.col(id_col).alias("doc_id"), key.alias("own_group")).alias("k"), text_of(text_col).alias("text"))
 
     def step(keys: pa.Array, texts: list[str]) -> dict:
         return {"k": keys} | dict(zip(names, np.array([measures(x) for x in texts], np.int64).T, strict=True))
 
-    kind = dict(docs.dtypes)[id_col]
-    out = map_texts(plain, step, f"k struct<doc_id: {kind}, own_group: string>, " + ", ".join(f"{n} bigint" for n in names), ["k", *names])
+    schema = StructType([plain.schema["k"], *(StructField(n, LongType()) for n in names)])
+    out = map_texts(plain, step, schema, ["k", *names])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.select("k.doc_id", "k.own_group", *names).withColumn("base_failed", failed)
+    return out.select("k.row", "k.doc_id", "k.own_group", *names).withColumn("base_failed", failed)
 
 
 def _distance() -> Column:
     """The squared Mahalanobis distance from the estimate's columns m0.. and v00.. ."""
     gap = [F.col(q) / UNIT - F.col(f"m{i}") for i, q in enumerate(STATS)]
     total = F.lit(0.0)
-    for i in range(N_STATS):
-        for j in range(i, N_STATS):
-            total = total + (1 if i == j else 2) * F.col(f"v{i}{j}") * gap[i] * gap[j]
+    for i, j in PAIRS:
+        total = total + (1 if i == j else 2) * F.col(f"v{i}{j}") * gap[i] * gap[j]
     return F.greatest(total, F.lit(0.0))
 
 
-ESTIMATE = ", ".join(["group string", *(f"m{i} double" for i in range(N_STATS)), *(f"v{i}{j} double" for i in range(N_STATS) for j in range(i, N_STATS))])
+def _bin() -> Column:
+    return F.floor(F.log(_distance() + 1e-6) * BINS)
+
+
+#: gid and start tell an estimate, n counts its documents, det is the logarithm of the determinant, moving says whether it fell;
+#: means, covariances, and the covariances' inverse.
+ESTIMATE = ", ".join(["gid bigint", "start int", "n bigint", "det double", "moving boolean", *(f"m{i} double" for i in range(N_STATS)), *(f"{x}{i}{j} double" for x in "cv" for i, j in PAIRS)])
 ESTIMATE_NAMES = [x.split()[0] for x in ESTIMATE.split(", ")]
 
 
-def _row(group: str, mean: np.ndarray, inverse: np.ndarray) -> list:
-    return [group, *mean.tolist(), *(float(inverse[i, j]) for i in range(N_STATS) for j in range(i, N_STATS))]
+def _row(gid: int, start: int, n: int, before: float, mean: np.ndarray, cov: np.ndarray) -> list:
+    det, inverse = float(np.linalg.slogdet(cov)[1]), np.linalg.inv(cov)
+    return [gid, start, n, det, det < before - FALL, *mean.tolist(), *(float(x[i, j]) for x in (cov, inverse) for i, j in PAIRS)]
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k.split()[1]]) for x, k in zip(zip(*rows, strict=True), ESTIMATE.split(", "), strict=True)], names=ESTIMATE_NAMES)
 
 
 def _estimates(frame: DataFrame, make) -> DataFrame:
@@ -114,102 +133,161 @@ def _estimates(frame: DataFrame, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_row(r["group"], *make(r)) for r in batch.to_pylist()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=ESTIMATE_NAMES)
+            if rows := [_row(*make(r)) for r in batch.to_pylist()]:
+                yield _batch(rows)
 
     return stash(frame.mapInArrow(run, ESTIMATE), "quality-estimate")
 
 
-def _begin(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Medians, and quartile ranges as standard deviations."""
-    q = np.array([row[s] for s in STATS]) / UNIT
-    return q[:, 1], np.diag(1 / np.maximum((q[:, 2] - q[:, 0]) / 1.349, FLOOR) ** 2)
+def shortest(values: np.ndarray, number: np.ndarray, share: float) -> tuple[float, float]:
+    """Middle and width of the shortest interval that holds this share; values ascend."""
+    upto = np.cumsum(number)
+    need = np.ceil(share * upto[-1])
+    last = np.searchsorted(upto, upto - number + need)
+    first = np.flatnonzero(last < len(values))
+    k = first[np.argmin(values[last[first]] - values[first])]
+    return (values[last[k]] + values[k]) / 2, values[last[k]] - values[k]
+
 
+def starts(rows: DataFrame) -> DataFrame:
+    """Three starts for each gid of rows (gid and statistics), from its statistics one by one."""
+    each = rows.select("gid", F.posexplode(F.array(*STATS)).alias("stat", "q"))
+    counted = stash(each.groupBy("gid", "stat", F.floor(F.col("q") / STEP).alias("q")).agg(F.count("*").alias("n")), "quality-bins")
 
-def _concentrate(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    mean = np.array([row[f"s{i}"] for i in range(N_STATS)]) / row["n"] / UNIT
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in whole_groups(batches, ["gid"]):
+            gid, stat, q, n = (table[c].to_numpy() for c in ("gid", "stat", "q", "n"))
+            out = []
+            for a, b in zip(begins[:-1], begins[1:], strict=True):
+                middle, width = np.zeros((3, N_STATS)), np.zeros((3, N_STATS))
+                for k in range(N_STATS):
+                    own = a + np.flatnonzero(stat[a:b] == k)
+                    values, number = (q[own] + 0.5) * STEP / UNIT, n[own]
+                    low, middle[0, k], high = (values[np.searchsorted(np.cumsum(number), p * number.sum())] for p in (0.25, 0.5, 0.75))
+                    width[0, k] = (high - low) / 1.349  # in standard deviations of the normal distribution
+                    for s, (share, deviations) in enumerate(((0.5, 1.349), (0.25, 0.6373)), 1):
+                        middle[s, k], w = shortest(values, number, share)
+                        width[s, k] = w / deviations
+                total = int(n[a:b].sum()) // N_STATS
+                out += [_row(int(gid[a]), s, total, np.inf, middle[s], np.diag(np.maximum(width[s], FLOOR) ** 2)) for s in range(3)]
+            yield _batch(out)
+
+    found = stash(counted.repartition("gid").sortWithinPartitions("gid", "stat", "q").mapInArrow(run, ESTIMATE), "quality-starts")
+    discard(counted)
+    return found.withColumn("det", F.lit(np.inf))
+
+
+def _sums() -> list[Column]:
+    """Number of documents, sums of statistics and of their products."""
+    return [F.count("*").alias("k"), *(F.sum(q).alias(f"s{i}") for i, q in enumerate(STATS)), *(F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s{i}{j}") for i, j in PAIRS)]
+
+
+def _moments(row: dict, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from sums, the covariance no narrower than FLOOR."""
+    mean = np.array([row[f"s{i}"] for i in range(N_STATS)]) / row["k"] / UNIT
     cov = np.zeros((N_STATS, N_STATS))
-    for i in range(N_STATS):
-        for j in range(i, N_STATS):
-            cov[i, j] = cov[j, i] = row[f"s{i}{j}"] / row["n"] / UNIT**2 - mean[i] * mean[j]
-    return mean, np.linalg.inv(CONSISTENCY * cov + FLOOR**2 * np.eye(N_STATS))
+    for i, j in PAIRS:
+        cov[i, j] = cov[j, i] = row[f"s{i}{j}"] / row["k"] / UNIT**2 - mean[i] * mean[j]
+    return mean, factor * cov + FLOOR**2 * np.eye(N_STATS)
+
+
+def _bounded(frame: DataFrame, rows: int) -> DataFrame:
+    """A table of so many estimates, to be broadcast if these are few; many more are joined in a shuffle, hot groups split by AQE."""
+    return F.broadcast(frame) if rows <= BROADCAST_GROUPS else frame
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """The estimate of each group of rows (group and statistics); the table has a row a group."""
-    medians = rows.groupBy("group").agg(*[F.percentile(q, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(q) for q in STATS])
-    now = _estimates(medians, _begin)
-    sums = {f"s{i}": F.col(a) for i, a in enumerate(STATS)} | {f"s{i}{j}": F.col(STATS[i]) * F.col(STATS[j]) for i in range(N_STATS) for j in range(i, N_STATS)}
-    for _ in range(STEPS):
-        binned = rows.join(now, "group").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * 64))
-        by_bin = binned.groupBy("group", "bin").agg(F.count("*").alias("n"), *[F.sum(x).alias(k) for k, x in sums.items()])
-        w = W.partitionBy("group")
-        by_bin = by_bin.withColumn("all", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n"))
-        closest = by_bin.filter(F.col("before") < SUPPORT * F.col("all")).groupBy("group").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums])
-        old, now = now, _estimates(closest, _concentrate)
-        discard(old)
-    return now
-
-
-def _covariance(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.zeros((N_STATS, N_STATS))
-    for i in range(N_STATS):
-        for j in range(i, N_STATS):
-            inverse[i, j] = inverse[j, i] = row[f"{prefix}v{i}{j}"]
-    return np.array([row[f"{prefix}m{i}"] for i in range(N_STATS)]), np.linalg.inv(inverse)
+    """The estimate of each gid of rows (gid and statistics)."""
+    now, done, held = starts(rows), [], []
+    w = W.partitionBy("gid", "start")
+    while left := now.count():
+        # by group and bin first, so that the window's task sees some thousand bins of an estimate at most, in a shuffle of its own
+        counted = rows.join(_bounded(now, left), "gid").groupBy("gid", "start", _bin().alias("bin")).agg(F.count("*").alias("k"), F.max("n").alias("n")).repartition("gid", "start")
+        before = counted.withColumn("before", F.sum("k").over(w.orderBy("bin")) - F.col("k"))
+        need = F.least(F.floor((F.col("n") + N_STATS + 1) / 2), F.col("n"))
+        edge = before.filter((F.col("before") < need) & (F.col("before") + F.col("k") >= need)).select("gid", "start", F.col("bin").alias("edge"), ((need - F.col("before")) / F.col("k")).alias("part"))
+        inside = rows.join(_bounded(now.join(_bounded(edge, left), ["gid", "start"]), left), "gid").withColumn("bin", _bin()).filter("bin <= edge")
+        sums = inside.groupBy("gid", "start", "n", "det", "part", (F.col("bin") == F.col("edge")).alias("at_edge")).agg(*_sums())
+        # of the documents in the last bin that fraction counts that is needed
+        share = F.when(F.col("at_edge"), F.col("part")).otherwise(1.0)
+        summed = sums.groupBy("gid", "start", "n", "det").agg(*[F.sum(F.col(c) * share).alias(c) for c in sums.columns if c[0] in "sk" and c != "start"])
+        new = _estimates(summed, lambda r: (r["gid"], r["start"], r["n"], r["det"], *_moments(r, HALF_FACTOR)))
+        held.append(new)
+        done.append(new.filter("NOT moving"))
+        now = new.filter("moving")
+    every = now
+    for x in done:
+        every = every.unionByName(x)
+    best = every.groupBy("gid").agg(F.min_by(F.struct(*[c for c in ESTIMATE_NAMES if c != "gid"]), F.struct("det", "start")).alias("e")).select("gid", "e.*")
+    best = stash(best, "quality-best")
+    discard(*held)
+    close = rows.join(_bounded(best, best.count()), "gid").filter(_distance() <= WITHIN).groupBy("gid", "n").agg(*_sums())
+    final = _estimates(close, lambda r: (r["gid"], 0, r["n"], np.inf, *_moments(r, WITHIN_FACTOR)))
+    discard(best)
+    return final
 
 
 def _mixed(own: tuple[np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of a group of n shrunk towards its pool; at MIN_GROUP it is the group alone. The own covariance has
-    the square of the mean's weight, since a few outliers widen that of a small group."""
-    w = min(1.0, n / MIN_GROUP)
+    """Mean and covariance of a group of n shrunk towards its pool. The own covariance, and what the gap between the means adds,
+    have the square of the mean's weight, since a few outliers widen those of a small group."""
+    w = n / (n + SHRINK)
     gap = own[0] - pool[0]
-    return w * own[0] + (1 - w) * pool[0], w * w * own[1] + (1 - w * w) * pool[1] + w * (1 - w) * np.outer(gap, gap)
+    return w * own[0] + (1 - w) * pool[0], w * w * own[1] + (1 - w * w) * pool[1] + w * w * (1 - w) * np.outer(gap, gap)
 
 
-def _shrunk(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    pool = _mixed(_covariance(row, "l_"), _covariance(row, "a_"), row["l_n"])
-    mean, cov = _mixed(_covariance(row, ""), pool, row["n"])
-    return mean, np.linalg.inv(cov)
+def _shrunk(row: dict) -> tuple:
+    def of(x: dict) -> tuple[np.ndarray, np.ndarray]:
+        cov = np.zeros((N_STATS, N_STATS))
+        for i, j in PAIRS:
+            cov[i, j] = cov[j, i] = x[f"c{i}{j}"]
+        return np.array([x[f"m{i}"] for i in range(N_STATS)]), cov
 
+    pool = _mixed(of(row["language"]), of(row["whole"]), row["language"]["n"])
+    return row["own"]["gid"], 0, row["own"]["n"], np.inf, *_mixed(of(row["own"]), pool, row["own"]["n"])
 
-def group_estimates(passed: DataFrame) -> DataFrame:
-    """The estimate of each own_group of passed, whatever its size. Those of groups under MIN_GROUP are shrunk towards that
-    of all such groups of the language, this one in the same way towards that of all such groups."""
-    language = F.concat(F.lit("language "), F.to_json(F.struct(F.get_json_object("own_group", "$.l").alias("l"))))
-    sizes = stash(passed.groupBy("own_group").agg(F.count("*").alias("n")).withColumn("language", language), "quality-groups")
-    few = sizes.filter(F.col("n") < MIN_GROUP)
-    pools = passed.join(few, "own_group").select(F.explode(F.array("language", F.lit(ALL))).alias("group"), *STATS)
-    found = estimate(passed.select(F.col("own_group").alias("group"), *STATS).union(pools)).select(ESTIMATE_NAMES)
 
-    def named(frame: DataFrame, prefix: str) -> DataFrame:
-        return frame.select([F.col(c).alias(prefix + c) for c in ESTIMATE_NAMES])
+def _levels() -> list[Column]:
+    """The gids of a row: of language and source, of the language, of all."""
+    language = F.to_json(F.struct(F.get_json_object("own_group", "$.l").alias("l")))
+    return [F.xxhash64(F.lit("own"), F.col("own_group")), F.xxhash64(F.lit("language"), language), F.xxhash64(F.lit("all"))]
 
-    by_language = few.groupBy(F.col("language").alias("l_language")).agg(F.sum("n").alias("l_n"))
-    own = found.join(few, F.col("group") == F.col("own_group")).join(by_language, F.col("language") == F.col("l_language"))
-    own = own.join(named(found, "l_"), F.col("language") == F.col("l_group")).join(named(found.filter(F.col("group") == ALL), "a_"), F.lit(True))
-    shrunk = _estimates(own, _shrunk)
-    return found.join(sizes.filter(F.col("n") >= MIN_GROUP), F.col("group") == F.col("own_group"), "left_semi").union(shrunk)
+
+def group_estimates(passed: DataFrame) -> DataFrame:
+    """The estimate of each own_group of passed (gid is the first of its levels), whatever its size, shrunk towards that of its
+    language, and this towards that of all."""
+    members = stash(passed.select(F.array(*_levels()).alias("gids"), *STATS), "quality-members")
+    found = estimate(members.select(F.explode("gids").alias("gid"), *STATS))
+    discard(members)
+    groups = passed.select("own_group").distinct()
+    own, language, whole = _levels()
+    rows = groups.select(own.alias("o"), language.alias("l"), whole.alias("w"))
+    for key, name in (("o", "own"), ("l", "language"), ("w", "whole")):
+        rows = rows.join(found.select(F.col("gid").alias(key), F.struct(*ESTIMATE_NAMES).alias(name)), key)
+    out = _estimates(rows.select("own", "language", "whole"), _shrunk)
+    discard(found)
+    return out
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, whole: bool) -> DataFrame:
+    """measured() with distance and kept."""
+    rows = stash(measured(docs, id_col, text_col, lang_col, source_col, whole), "quality-measures")
+    found = group_estimates(rows.filter("NOT base_failed").select("own_group", *STATS)).select("gid", *[c for c in ESTIMATE_NAMES if c[0] in "mv" and c != "moving"])
+    out = rows.withColumn("gid", _levels()[0]).join(_bounded(found, found.count()), "gid", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
-    Null and empty texts have no words and fail. Null languages and sources are values of their own. Groups of every size have
-    an estimate, those of fewer than MIN_GROUP documents a shrunk one. Repeated rows each count. An empty table gives an
-    empty one. distance is null where base_failed.
+    Null and empty texts have no words and fail. Null languages and sources are values of their own. Repeated rows and
+    rows that share an id each count and are judged by their own text. Whole texts are read; other columns are not.
+    An empty table gives an empty one. distance is null where base_failed.
     """
-    rows = stash(measured(docs, id_col, text_col, lang_col, source_col), "quality-measures")
-    passed = rows.filter("NOT base_failed")
-    found = group_estimates(passed)
-    distance = F.when(~F.col("base_failed"), _distance())
-    out = rows.join(found, F.col("own_group") == F.col("group"), "left").withColumn("distance", distance)
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    out = _verdicts(docs, id_col, text_col, lang_col, source_col, False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that are kept, with all their columns. Documents without an id are judged, but stay."""
-    gone = stash(judged(docs, id_col, text_col, lang_col, source_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__lx_gone")).distinct(), "quality-gone")
-    return docs.join(gone, F.col(id_col) == F.col("__lx_gone"), "left_anti")
+    """The documents that are kept, with all their columns, which may bear any name. Each row is judged by its own text, so
+    rows that share an id or have none can stay or go. Other cases as in judged()."""
+    return _verdicts(docs, id_col, text_col, lang_col, source_col, True).filter("kept").select("row.*")
