@@ -9,21 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset and all run in this machine (tests) a
+    temporary one. On a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexisift-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path below the shared folder that nobody else has."""
+    return f"{shared_dir(spark)}/lexisift/{tag}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it again, which cuts its lineage.
 
     The files outlive a lost executor. The path stands in the frame's attribute ``stash_path``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexisift/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
