@@ -8,9 +8,10 @@ counts, and what lies within its 0.975 quantile gives the final mean and covaria
 outliers. An estimate is mixed with that of its pool, the language's and then all documents', the more the smaller the group
 is, so groups of every size are judged alike. A document whose squared Mahalanobis distance exceeds CUTOFF goes.
 
-Statistics are integers and all sums of them exact, so the estimates do not depend on partitions, and every document counts.
-A step counts documents by group and bin of distance, finds the bin where the half ends, of which a fraction counts, and then sums the
-documents up to it: what is shuffled is combined before, and no task sees more than the bins of a group.
+Every document counts, with exact integer sums: documents whose statistics fall into one small cell are summed up, before
+and after the shuffle, and the steps run over cells. Of a cell at the end of the half a fraction counts. A group's cells come
+together in one task; a group with more than MAX_CELLS of them has cells of twice the width, so that task is bounded however
+many documents there are.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lexisift.llm.common import discard, map_texts, stash, text_of, whole_groups
@@ -36,9 +36,9 @@ WITHIN, HALF_FACTOR, WITHIN_FACTOR = 12.832, 1.912, 1.0553
 #: Smallest standard deviation of a statistic; squared distance beyond which a document goes (the 1 - 1.5e-7 quantile of
 #: chi-square with five degrees of freedom); members at which half of a group's mean is its own, the rest that of its pool.
 FLOOR, CUTOFF, SHRINK = 0.04, 40.0, 50
-#: Integer steps of a statistic's unit; width of a bin of a statistic in these; bins for each factor e of a squared distance; fall
-#: of the logarithm of a determinant below which a start has converged; estimates that are broadcast at most.
-UNIT, STEP, BINS, FALL, BROADCAST_GROUPS = 4096, 16, 64, 0.01, 100_000
+#: Integer steps of a statistic's unit; width of a cell in these; cells of a group at most; fall of the logarithm of a
+#: determinant below which a start has converged; estimates that are broadcast at most.
+UNIT, CELL, MAX_CELLS, FALL, BROADCAST_GROUPS = 4096, 128, 200_000, 1e-6, 100_000
 SYMBOLS, N_STATS = b"#*$%&|<>", 5
 STATS = [f"q{i}" for i in range(N_STATS)]
 PAIRS = [(i, j) for i in range(N_STATS) for j in range(i, N_STATS)]
@@ -108,35 +108,17 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _bin() -> Column:
-    return F.floor(F.log(_distance() + 1e-6) * BINS)
-
-
-#: gid and start tell an estimate, n counts its documents, det is the logarithm of the determinant, moving says whether it fell;
-#: means, covariances, and the covariances' inverse.
-ESTIMATE = ", ".join(["gid bigint", "start int", "n bigint", "det double", "moving boolean", *(f"m{i} double" for i in range(N_STATS)), *(f"{x}{i}{j} double" for x in "cv" for i, j in PAIRS)])
+#: gid tells an estimate, n counts its documents; means, covariances, and the covariances' inverse.
+ESTIMATE = ", ".join(["gid bigint", "n bigint", *(f"m{i} double" for i in range(N_STATS)), *(f"{x}{i}{j} double" for x in "cv" for i, j in PAIRS)])
 ESTIMATE_NAMES = [x.split()[0] for x in ESTIMATE.split(", ")]
+#: Of a cell: documents, sums of statistics and of their products.
+SUM_NAMES, PLACES = ["k", *(f"s{i}" for i in range(N_STATS)), *(f"s{i}{j}" for i, j in PAIRS)], [f"p{i}" for i in range(N_STATS)]
 
 
-def _row(gid: int, start: int, n: int, before: float, mean: np.ndarray, cov: np.ndarray) -> list:
-    det, inverse = float(np.linalg.slogdet(cov)[1]), np.linalg.inv(cov)
-    return [gid, start, n, det, det < before - FALL, *mean.tolist(), *(float(x[i, j]) for x in (cov, inverse) for i, j in PAIRS)]
-
-
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k.split()[1]]) for x, k in zip(zip(*rows, strict=True), ESTIMATE.split(", "), strict=True)], names=ESTIMATE_NAMES)
-
-
-def _estimates(frame: DataFrame, make) -> DataFrame:
-    """One estimate for each row of frame, made by make(row)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if rows := [_row(*make(r)) for r in batch.to_pylist()]:
-                yield _batch(rows)
-
-    return stash(frame.mapInArrow(run, ESTIMATE), "quality-estimate")
+def _batch(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    flat = [[gid, n, *mean.tolist(), *(float(x[i, j]) for x in (cov, np.linalg.inv(cov)) for i, j in PAIRS)] for gid, n, mean, cov in rows]
+    kinds = [pa.int64() if k.endswith("bigint") else pa.float64() for k in ESTIMATE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*flat, strict=True), kinds, strict=True)], names=ESTIMATE_NAMES)
 
 
 def shortest(values: np.ndarray, number: np.ndarray, share: float) -> tuple[float, float]:
@@ -149,82 +131,84 @@ def shortest(values: np.ndarray, number: np.ndarray, share: float) -> tuple[floa
     return (values[last[k]] + values[k]) / 2, values[last[k]] - values[k]
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """Three starts for each gid of rows (gid and statistics), from its statistics one by one."""
-    each = rows.select("gid", F.posexplode(F.array(*STATS)).alias("stat", "q"))
-    counted = stash(each.groupBy("gid", "stat", F.floor(F.col("q") / STEP).alias("q")).agg(F.count("*").alias("n")), "quality-bins")
+def starts(x: np.ndarray, number: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Three starts from the statistics one by one, of points x that stand for so many documents each."""
+    middle, width = np.zeros((3, N_STATS)), np.zeros((3, N_STATS))
+    for k in range(N_STATS):
+        order = np.argsort(x[:, k], kind="stable")
+        values, own = x[order, k], number[order]
+        low, middle[0, k], high = values[np.searchsorted(np.cumsum(own), np.array([0.25, 0.5, 0.75]) * own.sum())]
+        width[0, k] = (high - low) / 1.349  # in standard deviations of the normal distribution
+        for s, (share, deviations) in enumerate(((0.5, 1.349), (0.25, 0.6373)), 1):
+            middle[s, k], w = shortest(values, own, share)
+            width[s, k] = w / deviations
+    return [(m, np.diag(np.maximum(w, FLOOR) ** 2)) for m, w in zip(middle, width, strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in whole_groups(batches, ["gid"]):
-            gid, stat, q, n = (table[c].to_numpy() for c in ("gid", "stat", "q", "n"))
-            out = []
-            for a, b in zip(begins[:-1], begins[1:], strict=True):
-                middle, width = np.zeros((3, N_STATS)), np.zeros((3, N_STATS))
-                for k in range(N_STATS):
-                    own = a + np.flatnonzero(stat[a:b] == k)
-                    values, number = (q[own] + 0.5) * STEP / UNIT, n[own]
-                    low, middle[0, k], high = (values[np.searchsorted(np.cumsum(number), p * number.sum())] for p in (0.25, 0.5, 0.75))
-                    width[0, k] = (high - low) / 1.349  # in standard deviations of the normal distribution
-                    for s, (share, deviations) in enumerate(((0.5, 1.349), (0.25, 0.6373)), 1):
-                        middle[s, k], w = shortest(values, number, share)
-                        width[s, k] = w / deviations
-                total = int(n[a:b].sum()) // N_STATS
-                out += [_row(int(gid[a]), s, total, np.inf, middle[s], np.diag(np.maximum(width[s], FLOOR) ** 2)) for s in range(3)]
-            yield _batch(out)
-
-    found = stash(counted.repartition("gid").sortWithinPartitions("gid", "stat", "q").mapInArrow(run, ESTIMATE), "quality-starts")
-    discard(counted)
-    return found.withColumn("det", F.lit(np.inf))
-
-
-def _sums() -> list[Column]:
-    """Number of documents, sums of statistics and of their products."""
-    return [F.count("*").alias("k"), *(F.sum(q).alias(f"s{i}") for i, q in enumerate(STATS)), *(F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s{i}{j}") for i, j in PAIRS)]
-
-
-def _moments(row: dict, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance from sums, the covariance no narrower than FLOOR."""
-    mean = np.array([row[f"s{i}"] for i in range(N_STATS)]) / row["k"] / UNIT
+
+def moments(sums: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from a number, sums and sums of products, the covariance no narrower than FLOOR."""
+    mean = sums[1 : 1 + N_STATS] / sums[0]
     cov = np.zeros((N_STATS, N_STATS))
-    for i, j in PAIRS:
-        cov[i, j] = cov[j, i] = row[f"s{i}{j}"] / row["k"] / UNIT**2 - mean[i] * mean[j]
+    for k, (i, j) in enumerate(PAIRS):
+        cov[i, j] = cov[j, i] = sums[1 + N_STATS + k] / sums[0] - mean[i] * mean[j]
     return mean, factor * cov + FLOOR**2 * np.eye(N_STATS)
 
 
-def _bounded(frame: DataFrame, rows: int) -> DataFrame:
-    """A table of so many estimates, to be broadcast if these are few; many more are joined in a shuffle, hot groups split by AQE."""
-    return F.broadcast(frame) if rows <= BROADCAST_GROUPS else frame
+def determinant_estimate(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a group, given as one row of sums a cell, in units of the statistics."""
+    number = sums[:, 0]
+    x = sums[:, 1 : 1 + N_STATS] / number[:, None]
+    n = int(number.sum())
+    half = min((n + N_STATS + 1) // 2, n)
+
+    def distance(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    best = (np.inf, None)
+    for now in starts(x, number):
+        was = np.inf
+        while True:
+            order = np.argsort(distance(*now), kind="stable")
+            before = np.cumsum(number[order]) - number[order]
+            part = np.clip((half - before) / number[order], 0, 1)  # all of the closest cells, of the last a fraction
+            now = moments(part @ sums[order], HALF_FACTOR)
+            if (det := np.linalg.slogdet(now[1])[1]) >= was - FALL:
+                break
+            was = det
+        if det < best[0]:
+            best = (det, now)
+    return moments(sums[distance(*best[1]) <= WITHIN].sum(axis=0), WITHIN_FACTOR)
+
+
+def _combined(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("gid", *PLACES).agg(*[F.sum(c).alias(c) for c in SUM_NAMES])
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """The estimate of each gid of rows (gid and statistics)."""
-    now, done, held = starts(rows), [], []
-    w = W.partitionBy("gid", "start")
-    while left := now.count():
-        # by group and bin first, so that the window's task sees some thousand bins of an estimate at most, in a shuffle of its own
-        counted = rows.join(_bounded(now, left), "gid").groupBy("gid", "start", _bin().alias("bin")).agg(F.count("*").alias("k"), F.max("n").alias("n")).repartition("gid", "start")
-        before = counted.withColumn("before", F.sum("k").over(w.orderBy("bin")) - F.col("k"))
-        need = F.least(F.floor((F.col("n") + N_STATS + 1) / 2), F.col("n"))
-        edge = before.filter((F.col("before") < need) & (F.col("before") + F.col("k") >= need)).select("gid", "start", F.col("bin").alias("edge"), ((need - F.col("before")) / F.col("k")).alias("part"))
-        inside = rows.join(_bounded(now.join(_bounded(edge, left), ["gid", "start"]), left), "gid").withColumn("bin", _bin()).filter("bin <= edge")
-        sums = inside.groupBy("gid", "start", "n", "det", "part", (F.col("bin") == F.col("edge")).alias("at_edge")).agg(*_sums())
-        # of the documents in the last bin that fraction counts that is needed
-        share = F.when(F.col("at_edge"), F.col("part")).otherwise(1.0)
-        summed = sums.groupBy("gid", "start", "n", "det").agg(*[F.sum(F.col(c) * share).alias(c) for c in sums.columns if c[0] in "sk" and c != "start"])
-        new = _estimates(summed, lambda r: (r["gid"], r["start"], r["n"], r["det"], *_moments(r, HALF_FACTOR)))
-        held.append(new)
-        done.append(new.filter("NOT moving"))
-        now = new.filter("moving")
-    every = now
-    for x in done:
-        every = every.unionByName(x)
-    best = every.groupBy("gid").agg(F.min_by(F.struct(*[c for c in ESTIMATE_NAMES if c != "gid"]), F.struct("det", "start")).alias("e")).select("gid", "e.*")
-    best = stash(best, "quality-best")
-    discard(*held)
-    close = rows.join(_bounded(best, best.count()), "gid").filter(_distance() <= WITHIN).groupBy("gid", "n").agg(*_sums())
-    final = _estimates(close, lambda r: (r["gid"], 0, r["n"], np.inf, *_moments(r, WITHIN_FACTOR)))
-    discard(best)
-    return final
+    """The estimate of each of a row's gids (an array), from rows of gids and statistics."""
+    products = [F.lit(1).cast("long"), *map(F.col, STATS), *(F.col(STATS[i]) * F.col(STATS[j]) for i, j in PAIRS)]
+    single = rows.select("gids", *[F.floor(F.col(q) / CELL).alias(p) for q, p in zip(STATS, PLACES, strict=True)], *[c.alias(n) for c, n in zip(products, SUM_NAMES, strict=True)])
+    own = single.groupBy("gids", *PLACES).agg(*[F.sum(c).alias(c) for c in SUM_NAMES])
+    cells = stash(_combined(own.select(F.explode("gids").alias("gid"), *PLACES, *SUM_NAMES)), "quality-cells")
+    while True:
+        wide = cells.groupBy("gid").agg(F.count("*").alias("cells")).filter(F.col("cells") > MAX_CELLS).select("gid")
+        if wide.isEmpty():
+            break
+        wide = stash(wide, "quality-wide")
+        doubled = cells.join(wide, "gid", "left_semi").withColumns({p: F.floor(F.col(p) / 2) for p in PLACES})
+        old, cells = cells, stash(cells.join(wide, "gid", "left_anti").unionByName(_combined(doubled)), "quality-cells")
+        discard(old, wide)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale = np.array([1.0] + [1 / UNIT] * N_STATS + [1 / UNIT**2] * len(PAIRS))
+        for table, begins in whole_groups(batches, ["gid"]):
+            gid = table["gid"].to_numpy()
+            sums = np.stack([table[c].to_numpy() for c in SUM_NAMES], axis=1) * scale
+            yield _batch([(int(gid[a]), int(sums[a:b, 0].sum()), *determinant_estimate(sums[a:b])) for a, b in zip(begins[:-1], begins[1:], strict=True)])
+
+    found = stash(cells.repartition("gid").sortWithinPartitions("gid", *PLACES).mapInArrow(run, ESTIMATE), "quality-estimates")
+    discard(cells)
+    return found
 
 
 def _mixed(own: tuple[np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +219,7 @@ def _mixed(own: tuple[np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarra
     return w * own[0] + (1 - w) * pool[0], w * w * own[1] + (1 - w * w) * pool[1] + w * w * (1 - w) * np.outer(gap, gap)
 
 
-def _shrunk(row: dict) -> tuple:
+def _shrunk(row: dict) -> tuple[int, int, np.ndarray, np.ndarray]:
     def of(x: dict) -> tuple[np.ndarray, np.ndarray]:
         cov = np.zeros((N_STATS, N_STATS))
         for i, j in PAIRS:
@@ -243,7 +227,7 @@ def _shrunk(row: dict) -> tuple:
         return np.array([x[f"m{i}"] for i in range(N_STATS)]), cov
 
     pool = _mixed(of(row["language"]), of(row["whole"]), row["language"]["n"])
-    return row["own"]["gid"], 0, row["own"]["n"], np.inf, *_mixed(of(row["own"]), pool, row["own"]["n"])
+    return row["own"]["gid"], row["own"]["n"], *_mixed(of(row["own"]), pool, row["own"]["n"])
 
 
 def _levels() -> list[Column]:
@@ -255,15 +239,18 @@ def _levels() -> list[Column]:
 def group_estimates(passed: DataFrame) -> DataFrame:
     """The estimate of each own_group of passed (gid is the first of its levels), whatever its size, shrunk towards that of its
     language, and this towards that of all."""
-    members = stash(passed.select(F.array(*_levels()).alias("gids"), *STATS), "quality-members")
-    found = estimate(members.select(F.explode("gids").alias("gid"), *STATS))
-    discard(members)
-    groups = passed.select("own_group").distinct()
+    found = estimate(passed.select(F.array(*_levels()).alias("gids"), *STATS))
     own, language, whole = _levels()
-    rows = groups.select(own.alias("o"), language.alias("l"), whole.alias("w"))
+    rows = passed.select("own_group").distinct().select(own.alias("o"), language.alias("l"), whole.alias("w"))
     for key, name in (("o", "own"), ("l", "language"), ("w", "whole")):
         rows = rows.join(found.select(F.col("gid").alias(key), F.struct(*ESTIMATE_NAMES).alias(name)), key)
-    out = _estimates(rows.select("own", "language", "whole"), _shrunk)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if mixed := [_shrunk(r) for r in batch.to_pylist()]:
+                yield _batch(mixed)
+
+    out = stash(rows.select("own", "language", "whole").mapInArrow(run, ESTIMATE), "quality-shrunk")
     discard(found)
     return out
 
@@ -271,8 +258,10 @@ def group_estimates(passed: DataFrame) -> DataFrame:
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, whole: bool) -> DataFrame:
     """measured() with distance and kept."""
     rows = stash(measured(docs, id_col, text_col, lang_col, source_col, whole), "quality-measures")
-    found = group_estimates(rows.filter("NOT base_failed").select("own_group", *STATS)).select("gid", *[c for c in ESTIMATE_NAMES if c[0] in "mv" and c != "moving"])
-    out = rows.withColumn("gid", _levels()[0]).join(_bounded(found, found.count()), "gid", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    found = group_estimates(rows.filter("NOT base_failed").select("own_group", *STATS)).select("gid", *[c for c in ESTIMATE_NAMES if c[0] in "mv"])
+    if found.count() <= BROADCAST_GROUPS:  # 21 numbers each; many more are joined in a shuffle, whose hot groups AQE splits
+        found = F.broadcast(found)
+    out = rows.withColumn("gid", _levels()[0]).join(found, "gid", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF))
 
 

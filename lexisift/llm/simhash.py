@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexisift.llm import similar
 from lexisift.llm.common import discard, keyed, map_texts, row_key, stash, whole_groups, without
-from lexisift.llm.components import components
+from lexisift.llm.components import Trees, close_pairs, components
 
 #: Seed of the hash, bits that may differ, and fingerprints of a key that one task compares.
 SEED, DISTANCE, KEY_ROWS = 42, 3, 4096
@@ -62,35 +62,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return map_texts(keyed(docs, id_col, text_col), step, f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint")
 
 
-def close_pairs(fps: np.ndarray, begins: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of fingerprints in groups, as positions. Small groups are compared at each distance of positions at
-    once; in a larger one each member reached takes its neighbours out of those not yet reached."""
-    sizes = np.diff(begins)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    small = sizes <= 32
-    end_of = np.repeat(begins[1:], sizes)
-    own = np.flatnonzero(np.repeat(small, sizes))
-    step = 1
-    while len(own := own[own + step < end_of[own]]):
-        hit = own[np.bitwise_count(fps[own] ^ fps[own + step]) <= distance]
-        left.append(hit)
-        right.append(hit + step)
-        step += 1
-    for g in np.flatnonzero(~small):
-        pool = np.arange(begins[g], begins[g + 1])
-        while len(pool):
-            reached, pool = [int(pool[0])], pool[1:]
-            while reached and len(pool):
-                at = reached.pop()
-                near = np.bitwise_count(fps[pool] ^ fps[at]) <= distance
-                hits = pool[near]
-                left.append(np.full(len(hits), at))
-                right.append(hits)
-                reached += hits.tolist()
-                pool = pool[~near]
-    return np.concatenate(left), np.concatenate(right)
-
-
 def links(distinct: DataFrame, distance: int = DISTANCE, key_rows: int = KEY_ROWS) -> DataFrame:
     """Links (a, b) between the representatives of distinct fingerprints (fp, rep) that connect the same documents
     as all close pairs would."""
@@ -108,23 +79,13 @@ def links(distinct: DataFrame, distance: int = DISTANCE, key_rows: int = KEY_ROW
     kind = dict(distinct.dtypes)["rep"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict = {}  # of the links that this task has found, so that it returns a forest
-
-        def find(x):
-            while (up := root.setdefault(x, x)) != x:
-                root[x] = x = root[up]
-            return x
-
+        trees = Trees()
         for table, begins in whole_groups(batches, names):
             reps = table["rep"].combine_chunks()
             i, j = close_pairs(table["fp"].to_numpy().view(np.uint64), begins, distance)
             for a, b in zip(reps.take(pa.array(i)).to_pylist(), reps.take(pa.array(j)).to_pylist(), strict=True):
-                a, b = find(a), find(b)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-        nodes = [x for x, up in root.items() if x != up]
-        out = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}.get(kind, pa.string())
-        yield pa.RecordBatch.from_pydict({"a": pa.array(nodes, out), "b": pa.array(map(find, nodes), out)})
+                trees.join(a, b)
+        yield trees.links({"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}.get(kind, pa.string()))
 
     return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(link, f"a {kind}, b {kind}")
 
@@ -154,7 +115,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DIST
     """The documents that stay, one of each group (that with the smallest id), with all their columns, which may bear any name.
 
     With ``similarity`` the groups are those of all documents linked by a Jaccard index of their sets of ``shingle``-word
-    shingles of at least so much, which lies far beyond three bits; links are then found as in the module ``similar``. A
+    shingles of at least so much, which lies far beyond three of 64 bits; they are found by fingerprints of 256 bits and verified
+    as in the module ``similar``. A
     document is a row: rows that share an id are judged by their own texts, null ids come last, of rows equal in id
     and text one stays. Null and empty texts are equal to each other. An empty table gives an empty one.
     """

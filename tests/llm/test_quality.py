@@ -100,14 +100,24 @@ def test_estimate_holds_up_to_40_percent_of_outliers(spark, share):
     n = int(share * len(x))
     x[:n] += rng.choice([2, 3], (n, 1))
     ints = np.round(x * quality.UNIT).astype(int)
-    rows = spark.createDataFrame([(7, *map(int, r)) for r in ints], "gid long, " + ", ".join(f"{s} long" for s in quality.STATS)).repartition(3)
+    rows = spark.createDataFrame([([7], *map(int, r)) for r in ints], "gids array<long>, " + ", ".join(f"{s} long" for s in quality.STATS)).repartition(3)
     got = quality.estimate(rows).first()
+    assert got.n == len(x)
     mean, cov = numpy_estimate(ints / quality.UNIT)
     assert np.allclose([got[f"m{i}"] for i in range(5)], mean, atol=0.01)
     assert np.allclose([[got[f"c{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)], cov, atol=0.01)
     assert np.allclose(mean, x[n:].mean(axis=0), atol=0.05)
 
 
+def test_wider_cells_of_a_group_with_very_many(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.multivariate_normal([1, 2, 0, -1, 0.5], np.diag([0.04, 0.09, 0.01, 0.25, 0.04]), 1500)
+    rows = spark.createDataFrame([([i % 2], *map(int, r * quality.UNIT)) for i, r in enumerate(x)], "gids array<long>, " + ", ".join(f"{s} long" for s in quality.STATS))
+    monkeypatch.setattr(quality, "MAX_CELLS", 300)
+    for r in quality.estimate(rows).collect():
+        assert r.n == 750 and np.allclose([r[f"m{i}"] for i in range(5)], [1, 2, 0, -1, 0.5], atol=0.1)
+
+
 def test_shortest_interval():
     rng = np.random.default_rng(2)
     for _ in range(50):

@@ -48,11 +48,27 @@ def test_stage_drops_what_all_pairs_find(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in simhash.drop_near_duplicates(docs, shingle=5, similarity=0.8).collect()} == expected
     keyed = docs.withColumn("doc_id", similar.F.unhex(similar.F.lpad(similar.F.hex("doc_id"), 16, "0")))
-    for key_shingles in (10**6, 300):
-        found = {int.from_bytes(r.node): int.from_bytes(r.component) for r in components(similar.links(keyed, key_shingles=key_shingles)).collect()}
+    for part_shingles, key_rows in ((10**6, 4096), (300, 4)):
+        found = {int.from_bytes(r.node): int.from_bytes(r.component) for r in components(similar.links(keyed, part_shingles=part_shingles, key_rows=key_rows)).collect()}
         assert {i for i in texts if found.get(i, i) == i} == expected
 
 
+def test_fingerprints_of_close_sets_are_within_the_allowed_distance():
+    rng = np.random.default_rng(0)
+    most = similar.allowed_distance(0.8)
+    far = 0
+    for _ in range(2000):
+        n = int(rng.integers(9, 400))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = a.copy()
+        b[: n // 9] = rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)  # a Jaccard index of 0.8
+        c = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        fps = [similar.fingerprint(x) for x in (a, b, c)]
+        assert np.bitwise_count(fps[0] ^ fps[1]).sum() <= most
+        far += np.bitwise_count(fps[0] ^ fps[2]).sum() > most
+    assert far > 1800
+
+
 def test_near_stage_of_the_pipeline_goes_beyond_three_bits(spark):
     import corpus_pipeline
     from lexisift.llm.simhash import fingerprint
