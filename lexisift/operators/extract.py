@@ -76,7 +76,7 @@ def extract(corpus: DataFrame, outputs: DataFrame, size: int = 100, least: int =
 
 
 def long_runs(corpus: DataFrame, outputs: DataFrame, size: int, hits: int = 5) -> DataFrame:
-    """Runs of at least so many consecutive chunks that occur one by one: doc_id, first_chunk, n_chunks, cnt of the whole."""
+    """Runs of at least so many consecutive chunks that occur one by one and as a whole: doc_id, first_chunk, n_chunks, cnt."""
     chunks = occurrences(chunk_corpus(corpus, size), outputs, "chunk")
     runs = stash(stitch(chunks).filter(F.col("n_chunks") >= hits).drop("p"), "runs")
-    return occurrences(runs, outputs, "core").select("doc_id", "first_chunk", "n_chunks", "cnt")
+    return occurrences(runs, outputs, "core").filter("cnt > 0").select("doc_id", "first_chunk", "n_chunks", "cnt")

@@ -41,3 +41,13 @@ def cumulative_curve(results: DataFrame) -> DataFrame:
     first = results.groupBy("t").agg(F.min("iter").alias("iter"))
     new = first.groupBy("iter").agg(F.count("*").alias("new_texts"))
     return new.withColumn("all_texts", F.sum("new_texts").over(Window.orderBy("iter").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def percentages(results: DataFrame, total_chars: int) -> DataFrame:
+    """iter, lo and hi (sums of cnt times the bounds of lengths over the texts that appear there for the first time and are not
+    filler), their percentages of total_chars, and those of all iterations up to this one."""
+    kept = substantial(first_seen(results))
+    by = kept.groupBy("iter").agg(*[F.sum(F.col("cnt") * F.col(f"maxlen_{x}")).alias(x) for x in ("lo", "hi")])
+    w = Window.orderBy("iter").rowsBetween(Window.unboundedPreceding, 0)  # a row an iteration
+    own = [(F.col(x) * 100.0 / total_chars).alias(f"percent_{x}") for x in ("lo", "hi")]
+    return by.select("iter", "lo", "hi", *own, *[(F.sum(x).over(w) * 100.0 / total_chars).alias(f"all_percent_{x}") for x in ("lo", "hi")])

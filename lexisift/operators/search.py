@@ -10,22 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.functions import text as T
-from lexisift.operators import kernel
+from lexisift.operators import kernel, windows
 from lexisift.plans import forms
-
-
-def _sparse_windows(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(text_id, pattern_id, pos) by a shuffled join: each pattern's first power-of-two chunk and its last of the same
-    size meet the windows of that size."""
-    keys = patterns.filter("pattern IS NOT NULL AND pattern != ''").withColumn("n", F.length("pattern")).withColumn("level", T.bit_floor(F.col("n")))
-    keys = keys.select("pattern_id", "pattern", "n", "level", T.window_hash(F.col("pattern"), F.lit(1), F.col("level")).alias("h"))
-    levels = keys.select("level").distinct()  # at most one for each power of two
-    wide = texts.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(levels), F.length("text") >= F.col("level"))
-    windows = wide.select("text_id", "text", "level", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("level") + 1)).alias("pos"))
-    windows = windows.select("text_id", "level", "pos", T.window_hash(F.col("text"), F.col("pos"), F.col("level")).alias("h"))
-    found = windows.join(keys, ["level", "h"]).select("text_id", "pattern_id", "pattern", "n", "pos")
-    whole = texts.select("text_id", "text")
-    return found.join(whole, "text_id").filter(F.substring(F.col("text"), F.col("pos"), F.col("n")) == F.col("pattern")).select("text_id", "pattern_id", "pos")
+from lexisift.plans.storage import stash
 
 
 def match_counts(texts: DataFrame, patterns: DataFrame, zeros: bool = True, form: str | None = None) -> DataFrame:
@@ -35,10 +22,11 @@ def match_counts(texts: DataFrame, patterns: DataFrame, zeros: bool = True, form
         return kernel.counts(texts, patterns, zeros)
     texts = texts.select(F.col("text_id").cast("long").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
     if form == "native":
+        forms.check(patterns)
         pairs = texts.join(F.broadcast(patterns.filter("pattern != ''")), F.col("text").contains(F.col("pattern")))
         found = pairs.select("text_id", F.col("pattern_id").cast("long").alias("pattern_id"), T.overlapping_count(F.col("text"), F.col("pattern")).alias("cnt"), F.instr("text", F.col("pattern")).alias("first_pos"))
     else:
-        found = _sparse_windows(texts, patterns).groupBy("text_id", F.col("pattern_id").cast("long").alias("pattern_id")).agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
+        found = windows.matches(texts, patterns).groupBy("text_id", "pattern_id").agg(F.sum(F.size("places")).alias("cnt"), F.min(F.array_min("places")).alias("first_pos"))
     if not zeros:
         return found
     grid = texts.select("text_id").crossJoin(patterns.select(F.col("pattern_id").cast("long").alias("pattern_id")))
@@ -61,8 +49,7 @@ def exists(texts: DataFrame, patterns: DataFrame, mode: str = "exact") -> DataFr
     if mode == "exact":
         return match_counts(texts, patterns, False).select("text_id", "pattern_id")
     wanted = links(patterns, mode == "aggressive")
-    distinct = wanted.select("link").distinct().withColumnRenamed("link", "pattern")
-    numbered = distinct.select(F.dense_rank().over(_by_pattern()).cast("long").alias("pattern_id"), "pattern")
+    numbered = _numbered(wanted.select(F.col("link").alias("pattern")))
     found = match_counts(texts, numbered, False).select("text_id", F.col("pattern_id").alias("link_id"))
     asked = wanted.join(numbered.select(F.col("pattern_id").alias("link_id"), F.col("pattern").alias("link")), "link").select("pattern_id", "link_id").distinct()
     need = asked.groupBy("pattern_id").agg(F.count("*").alias("need"))
@@ -70,10 +57,9 @@ def exists(texts: DataFrame, patterns: DataFrame, mode: str = "exact") -> DataFr
     return have.join(need, "pattern_id").filter("have = need").select("text_id", "pattern_id")
 
 
-def _by_pattern():
-    from pyspark.sql import Window
-
-    return Window.orderBy("pattern")  # over the distinct links of a dictionary
+def _numbered(strings: DataFrame) -> DataFrame:
+    """pattern_id, pattern of the distinct strings (pattern), written once so that ids stay the same."""
+    return stash(strings.distinct().select(F.monotonically_increasing_id().alias("pattern_id"), "pattern"), "numbered")
 
 
 def links(patterns: DataFrame, shifted: bool) -> DataFrame:
@@ -92,9 +78,12 @@ def links(patterns: DataFrame, shifted: bool) -> DataFrame:
     return out.distinct()
 
 
-def match_positions(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+def match_positions(texts: DataFrame, patterns: DataFrame, form: str | None = None) -> DataFrame:
     """text_id, pattern_id, pos_end of every occurrence."""
-    return kernel.positions(texts, patterns)
+    if (form or forms.choose(patterns)) == "automaton":
+        return kernel.positions(texts, patterns)
+    found = windows.matches(texts, patterns).select("text_id", "pattern_id", "n", F.explode("places").alias("pos"))
+    return found.select("text_id", "pattern_id", (F.col("pos") + F.col("n") - 1).cast("int").alias("pos_end"))
 
 
 def matches_by_end(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -113,16 +102,34 @@ def two_chunk_count(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     chunks = patterns.filter("pattern != ''").withColumn("n", F.length("pattern")).withColumn("p2", T.bit_floor(F.col("n")))
     one = chunks.select(F.substring(F.col("pattern"), F.lit(1), F.col("p2")).alias("pattern"))
     two = chunks.select(F.substring(F.col("pattern"), F.col("n") - F.col("p2") + 1, F.col("p2")).alias("pattern"))
-    numbered = one.union(two).distinct().select(F.dense_rank().over(_by_pattern()).cast("long").alias("pattern_id"), "pattern")
-    hits = kernel.positions(texts, numbered)
+    if forms.choose(one.union(two)) != "automaton":
+        return windows.matches(texts, patterns).groupBy("text_id", "pattern_id").agg(F.sum(F.size("places")).alias("cnt"))
+    numbered = _numbered(one.union(two))
     keys = numbered.select(F.col("pattern_id").alias("id"), F.col("pattern").alias("p"))
     asked = chunks.join(keys.withColumnRenamed("id", "one"), F.expr("substring(pattern, 1, p2) = p")).drop("p")
-    asked = asked.join(keys.withColumnRenamed("id", "two"), F.expr("substring(pattern, n - p2 + 1, p2) = p")).select("pattern_id", "one", "two", (F.col("n") - F.col("p2")).alias("gap"))
-    first = hits.select("text_id", F.col("pattern_id").alias("one"), "pos_end").join(asked, "one")
-    last = hits.select(F.col("text_id"), F.col("pattern_id").alias("two"), F.col("pos_end").alias("end"))
-    both = first.join(last, (first.text_id == last.text_id) & (first.two == last.two) & (first.pos_end + first.gap == last.end), "left_semi")
-    return both.groupBy("text_id", "pattern_id").agg(F.count("*").alias("cnt"))
+    asked = asked.join(keys.withColumnRenamed("id", "two"), F.expr("substring(pattern, n - p2 + 1, p2) = p")).select(F.col("pattern_id").cast("long"), "one", "two", (F.col("n") - F.col("p2")).alias("gap"))
+    return kernel.paired_chunks(texts, numbered, [tuple(r) for r in asked.collect()])  # as large as the patterns, which were measured
+
+
+def gated_positions(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """text_id, n_windows: places whose window equals the first power-of-two chunk of some pattern, which the gate lets
+    through and the join on the chunk confirms; a place counts once for each such length."""
+    first = patterns.filter("pattern != ''").select(F.substring(F.col("pattern"), F.lit(1), T.bit_floor(F.length("pattern"))).alias("pattern"))
+    found = windows.matches(texts, _numbered(first))
+    return found.groupBy("text_id").agg(F.sum(F.size("places")).alias("n_windows"))
+
+
+def prefiltered_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """text_id, pattern_id, cnt of patterns that occur, by two searches: first only the first chunk of each, then the whole of
+    those that are left."""
+    candidates = stash(patterns.join(prefix_candidates(texts, patterns), "pattern_id", "left_semi"), "candidates")
+    return match_counts(texts, candidates, False).drop("first_pos")
 
 
 def longest_prefix(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    return kernel.longest_prefixes(texts, patterns)
+    """text_id, pattern_id, prefix_len for every text and pattern; a dictionary too large to broadcast is taken in slices."""
+    out = None
+    for some in forms.slices(patterns):
+        found = kernel.longest_prefixes(texts, some)
+        out = found if out is None else out.unionByName(found)
+    return out

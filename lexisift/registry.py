@@ -47,15 +47,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.chunks(F.col("text"), SLICE)).alias("k", "pattern"))
-    return every.filter(F.length("pattern") == SLICE).select((F.col("item_id") * 1000 + F.col("k")).alias("pattern_id"), "pattern")
+    """Pieces of SLICE characters that cover every item; the last ends where the item ends."""
+    n = F.ceil(F.length("text") / SLICE).cast("int")
+    every = table(spark, sf_dir, "benchmark").filter(n > 0).select("item_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    begin = F.least(F.col("k") * SLICE + 1, F.greatest(F.length("text") - SLICE + 1, F.lit(1)))
+    return every.select((F.col("item_id") * 1000 + F.col("k")).alias("pattern_id"), F.substring(F.col("text"), begin, F.lit(SLICE)).alias("pattern"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
 
 
-SLICES_SQL = f"slices AS (SELECT item_id * 1000 + k AS pattern_id, substr(text, 1 + {SLICE} * k, {SLICE}) AS pattern FROM benchmark, unnest(range(0, length(text) // {SLICE})) AS u(k))"
+SLICES_SQL = f"slices AS (SELECT item_id * 1000 + k AS pattern_id, substr(text, least(1 + {SLICE} * k, greatest(length(text) - {SLICE - 1}, 1)), {SLICE}) AS pattern FROM benchmark, unnest(range(0, (length(text) + {SLICE - 1}) // {SLICE})) AS u(k))"
 COUNT_SQL = "len(list_filter(range(1, length({t}) - length({p}) + 2), lambda i: substr({t}, i, length({p})) = {p}))"
 
 
@@ -84,11 +87,22 @@ def native_count(spark, sf_dir):
     return search.match_counts(texts(spark, sf_dir), slices(spark, sf_dir), zeros=False, form="native")
 
 
-@query(f"SELECT c.conv_id * 1000 + c.turn AS text_id, b.item_id AS pattern_id, {COUNT_SQL.format(t='c.text', p='b.text')} AS cnt FROM conversations c JOIN benchmark b ON contains(c.text, b.text)")
+@query(f"WITH {SLICES_SQL} SELECT d.doc_id AS text_id, s.pattern_id, {COUNT_SQL.format(t='d.text', p='s.pattern')} AS cnt, strpos(d.text, s.pattern)::INT AS first_pos FROM slices s JOIN documents d ON contains(d.text, s.pattern)")
 def window_join_count(spark, sf_dir):
-    """The form for dictionaries too large to broadcast: windows and chunk keys meet in a shuffled join."""
-    out = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
-    return search.match_counts(out, items(spark, sf_dir), zeros=False, form="windows").drop("first_pos")
+    """The form for dictionaries too large to broadcast: gated and grouped windows meet the patterns' chunks in a shuffled join."""
+    return search.match_counts(texts(spark, sf_dir), slices(spark, sf_dir), zeros=False, form="windows")
+
+
+@query(f"WITH {SLICES_SQL}, chunks AS (SELECT DISTINCT substr(pattern, 1, 16) AS p FROM slices), places AS (SELECT doc_id, substr(text, i, 16) AS w FROM documents, unnest(range(1, length(text) - 14)) AS u(i)) SELECT doc_id AS text_id, count(*) AS n_windows FROM places JOIN chunks ON w = p GROUP BY doc_id")
+def gated_positions(spark, sf_dir):
+    """Places where some pattern may begin, by its first power-of-two chunk (16 of 30 characters)."""
+    return search.gated_positions(texts(spark, sf_dir), slices(spark, sf_dir))
+
+
+@query(f"WITH {SLICES_SQL} SELECT d.doc_id AS text_id, s.pattern_id, {COUNT_SQL.format(t='d.text', p='s.pattern')} AS cnt FROM slices s JOIN documents d ON contains(d.text, s.pattern)")
+def prefiltered_count(spark, sf_dir):
+    """First the search for first chunks alone, then for the patterns that are left."""
+    return search.prefiltered_counts(texts(spark, sf_dir), slices(spark, sf_dir))
 
 
 @query(f"WITH {SLICES_SQL} SELECT d.doc_id AS text_id, s.pattern_id, {COUNT_SQL.format(t='d.text', p='s.pattern')} AS cnt FROM slices s JOIN documents d ON contains(d.text, s.pattern)")
@@ -169,12 +183,37 @@ def longest_prefix(spark, sf_dir):
 FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def payload_matcher(spark, sf_dir) -> tuple[Matcher, DataFrame]:
+SHOWN_SQL = f"{SLICES_SQL}, folded AS (SELECT min(pattern_id) AS pattern_id, encode({FOLD.format('pattern')}) AS p FROM slices GROUP BY 2), shown AS (SELECT page_id, encode({FOLD.format('html')}) AS h FROM pages), places AS (SELECT page_id, pattern_id, octet_length(p) AS n, unnest(list_filter(range(1, octet_length(h) - octet_length(p) + 2), lambda i: h[i:i + octet_length(p) - 1] = p)) AS i FROM shown JOIN folded ON contains(hex(h), hex(p)))"
+
+
+def payload_matcher(spark, sf_dir, binary: bool = False) -> tuple[Matcher, DataFrame]:
     patterns = slices(spark, sf_dir).withColumn("no_case", F.lit(True))
-    shown = table(spark, sf_dir, "pages").select(F.col("page_id").alias("payload_id"), F.col("html").alias("payload"))
+    html = F.col("html").cast("binary") if binary else F.col("html")
+    shown = table(spark, sf_dir, "pages").select(F.col("page_id").alias("payload_id"), html.alias("payload"))
     return Matcher(spark).add_patterns(patterns), shown
 
 
+@query(f"WITH {SHOWN_SQL} SELECT page_id AS payload_id, pattern_id, (i + n - 1)::INT AS pos_end FROM places")
+def payload_matches(spark, sf_dir):
+    """Every occurrence in payloads of bytes, with the byte where it ends."""
+    matcher, shown = payload_matcher(spark, sf_dir, True)
+    return matcher.matches(shown)
+
+
+@query(f"WITH {SHOWN_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i, pattern_id) AS r FROM places) SELECT page_id AS payload_id, pattern_id, (i + n - 1)::INT AS pos_end FROM ranked WHERE r = 1")
+def payload_first_match(spark, sf_dir):
+    """The search that ends with its first match: by where it begins, then by pattern."""
+    matcher, shown = payload_matcher(spark, sf_dir, True)
+    return matcher.first_match(shown)
+
+
+@query(f"WITH {SHOWN_SQL} SELECT s.page_id AS payload_id, count(i) AS total FROM shown s LEFT JOIN places p ON p.page_id = s.page_id GROUP BY s.page_id")
+def payload_totals(spark, sf_dir):
+    """Occurrences over all distinct patterns of each payload of bytes."""
+    matcher, shown = payload_matcher(spark, sf_dir, True)
+    return matcher.totals(shown)
+
+
 @query(f"WITH {SLICES_SQL}, folded AS (SELECT min(pattern_id) AS pattern_id, {FOLD.format('pattern')} AS p FROM slices GROUP BY 2), shown AS (SELECT page_id, {FOLD.format('html')} AS h FROM pages) SELECT page_id AS payload_id, pattern_id, {COUNT_SQL.format(t='h', p='p')} AS cnt FROM shown JOIN folded ON contains(h, p)")
 def payload_search(spark, sf_dir):
     """All patterns in all payloads, without regard to case."""
@@ -211,6 +250,12 @@ def distinct_by_length(spark, sf_dir):
     return distinct.distinct_by_length(items(spark, sf_dir).toDF("text_id", "text"))
 
 
+@query()
+def distinct_by_length_documents(spark, sf_dir):
+    """The same over whole documents, too many for SQL; tests hold it against brute force."""
+    return distinct.distinct_by_length(texts(spark, sf_dir))
+
+
 @query()
 def distinct_total_documents(spark, sf_dir):
     """The same over whole documents, which SQL is too slow for; tests hold it against brute force."""
@@ -256,8 +301,11 @@ def extraction(spark, sf_dir):
     return extract.extract(corpus(spark, sf_dir), texts(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {RUNS_SQL.replace('100 * k, 100', '20 * k, 20').replace('+ 99) // 100', '+ 19) // 20')}
+    SELECT doc_id, first_chunk::INT AS first_chunk, n_chunks::INT AS n_chunks, (SELECT sum({COUNT_SQL.format(t='d.text', p='core')}) FROM documents d WHERE contains(d.text, core))::BIGINT AS cnt
+    FROM runs WHERE n_chunks >= 5 AND EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, core))""")
 def long_extractions(spark, sf_dir):
+    """Runs of five or more chunks that occur as a whole."""
     return extract.long_runs(corpus(spark, sf_dir), texts(spark, sf_dir), size=20)
 
 
@@ -289,6 +337,13 @@ def cumulative_curve(spark, sf_dir):
     return report.cumulative_curve(_results(spark, sf_dir))
 
 
+@query("WITH t AS (SELECT sum(n_chars) AS n FROM documents), f AS (SELECT min(turn) AS iter, text FROM conversations WHERE length(text) - length(translate(text, ' -.', '')) < length(text) GROUP BY text), s AS (SELECT iter, sum(length(text)) AS c FROM f GROUP BY iter) SELECT iter, c::BIGINT AS lo, (2 * c)::BIGINT AS hi, c * 100.0::DOUBLE / n AS percent_lo, 2 * c * 100.0::DOUBLE / n AS percent_hi, sum(c) OVER (ORDER BY iter) * 100.0::DOUBLE / n AS all_percent_lo, sum(2 * c) OVER (ORDER BY iter) * 100.0::DOUBLE / n AS all_percent_hi FROM s, t")
+def extraction_percentages(spark, sf_dir):
+    """Shares of the corpus by iteration and up to it; the upper bound of a length is here twice the lower one."""
+    total = table(spark, sf_dir, "documents").agg(F.sum("n_chars")).first()[0] or 1
+    return report.percentages(_results(spark, sf_dir).withColumn("maxlen_hi", 2 * F.col("maxlen_lo")), total)
+
+
 @query("WITH t AS (SELECT sum(n_chars) AS n FROM documents), f AS (SELECT DISTINCT text FROM conversations WHERE length(text) - length(translate(text, ' -.', '')) < length(text)) SELECT count(*) AS n_texts, coalesce(sum(length(text)), 0)::BIGINT AS extracted, coalesce(sum(length(text)), 0)::BIGINT * 100.0::DOUBLE / max(n) AS percent FROM f, t")
 def extraction_summary(spark, sf_dir):
     total = table(spark, sf_dir, "documents").agg(F.sum("n_chars")).first()[0] or 1
@@ -341,9 +396,10 @@ def range_patterns(spark, sf_dir):
     return readers.by_ranges(docs, docs.select("text_id", F.col("text_id").alias("pattern_id"), left.cast("int").alias("l"), (left + 29).cast("int").alias("r")))
 
 
-@query("SELECT doc_id FROM documents WHERE contains(text, chr(0))")
+@query("SELECT doc_id FROM documents WHERE contains(translate(text, ';', chr(0)), chr(0))")
 def rows_with_nul(spark, sf_dir):
-    return readers.rows_with_nul(table(spark, sf_dir, "documents")).select("doc_id")
+    """Documents have no such character, so each semicolon becomes one first."""
+    return readers.rows_with_nul(table(spark, sf_dir, "documents").withColumn("text", F.translate("text", ";", "\0"))).select("doc_id")
 
 
 @query("SELECT text FROM documents WHERE strlen(text) > 1")

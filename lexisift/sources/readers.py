@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +70,35 @@ def write_report(results: DataFrame, path: str) -> None:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Rows t, cnt, maxlen_lo, maxlen_hi of reports; iter is the number in the file's name, or 0. The format cannot hold a text
-    with a line of three hyphens; what follows such a line is left out."""
-    blocks = spark.read.text(path, wholetext=True).withColumn("name", F.input_file_name())
-    blocks = blocks.select(F.coalesce(F.regexp_extract("name", r"iter_?(\d+)", 1).try_cast("int"), F.lit(0)).alias("iter"), F.explode(F.split("value", "\n---\n")).alias("b")).filter("b != ''")
-    pattern = r"(?s)^count = (\d+), maxlen_lo = (\d+), maxlen_hi = (\d+)\n(.*)$"
-    figure = {n: F.regexp_extract("b", pattern, i).try_cast("int") for i, n in enumerate(("cnt", "maxlen_lo", "maxlen_hi"), 1)}
-    return blocks.select("iter", F.regexp_extract("b", pattern, 4).alias("t"), *[c.alias(n) for n, c in figure.items()]).filter("cnt IS NOT NULL")
+    """Rows t, cnt, maxlen_lo, maxlen_hi of reports; iter is the number in the file's name, or 0. A text ends where its least
+    length says if three hyphens follow there, so it may hold such lines itself; else at the next line of three hyphens."""
+    files = spark.read.text(path, wholetext=True).withColumn("name", F.input_file_name())
+    head = re.compile(r"count = (\d+), maxlen_lo = (\d+), maxlen_hi = (\d+)\n")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = 0
+                while found := head.search(value, at):
+                    cnt, low, high = map(int, found.groups())
+                    end = found.end() + low
+                    if value[end : end + 4] != "\n---":
+                        end = value.find("\n---\n", found.end() - 1)
+                        end = end if end >= 0 else len(value)
+                    out.append((number, value[found.end() : end], cnt, low, high))
+                    at = end + 4
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["iter", "t", "cnt", "maxlen_lo", "maxlen_hi"])
+
+    number = F.coalesce(F.regexp_extract("name", r"iter_?(\d+)", 1).try_cast("int"), F.lit(0))
+    return files.select(number.alias("iter"), "value").mapInArrow(parse, "iter int, t string, cnt int, maxlen_lo int, maxlen_hi int")
+
+
+def write_strings(strings: DataFrame, path: str, column: str = "text") -> None:
+    """One column ``text`` as Parquet."""
+    strings.select(F.col(column).alias("text")).write.parquet(path)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:

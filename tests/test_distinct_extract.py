@@ -58,8 +58,20 @@ def test_extraction(spark):
     got = extract.extract(c, o, size=6, least=8).collect()
     expected = slow_extract(corpus, outputs, 6, 8)
     assert {tuple(r) for r in got} == expected and expected
-    long = extract.long_runs(c, o, size=3, hits=5).collect()
-    assert all(r.n_chunks >= 5 for r in long)
+    long = extract.long_runs(c, o, size=3, hits=2).collect()
+    expected = set()
+    for doc_id, text in enumerate(corpus):
+        parts = [text[i : i + 3] for i in range(0, len(text), 3)]
+        hit = [any(p in o for o in outputs) for p in parts] + [False]
+        begin = 0
+        for k, h in enumerate(hit):
+            if not h:
+                whole = "".join(parts[begin:k])
+                cnt = sum(o.startswith(whole, i) for o in outputs for i in range(len(o)))
+                if k - begin >= 2 and cnt:
+                    expected.add((doc_id, begin, k - begin, cnt))
+                begin = k + 1
+    assert {tuple(r) for r in long} == expected and expected
 
 
 def test_stitching_over_documents(spark):
@@ -73,6 +85,7 @@ def test_stitching_over_documents(spark):
 def test_reports(spark):
     results = spark.createDataFrame([(0, "abc", 2, 3, 3), (1, "abc", 5, 3, 3), (1, "xy", 1, 2, 9), (1, " - ", 4, 3, 3)], "iter int, t string, cnt long, maxlen_lo int, maxlen_hi int")
     assert report.summary(results, 100).first()[:] == (2, 8, 8.0)
+    assert sorted(map(tuple, report.percentages(results, 100).collect())) == [(0, 6, 6, 6.0, 6.0, 6.0, 6.0), (1, 2, 9, 2.0, 9.0, 8.0, 15.0)]
     assert sorted(map(tuple, report.cumulative_curve(results).collect())) == [(0, 1, 1), (1, 2, 3)]
     lengths = spark.createDataFrame([(x,) for x in (0, 1, 49, 50, 100)], "n int")
     assert {tuple(r) for r in report.histogram(lengths, "n", 2).collect()} == {(1, 3), (2, 2)}

@@ -82,6 +82,26 @@ def test_empty_tables(spark):
         assert search.match_counts(texts(spark, ["a"]), no_patterns, form=form).count() == 0
 
 
+def test_large_dictionaries_take_the_shuffled_form(spark, monkeypatch):
+    rng = random.Random(5)
+    values = ["".join(rng.choices("abé", k=rng.randint(0, 90))) for _ in range(15)] + list(generators.adversarial_texts(30).values())
+    words = ["".join(rng.choices("abé", k=rng.randint(1, 11))) for _ in range(40)]
+    t, p = texts(spark, values), patterns(spark, words)
+    asks = (search.match_positions, search.two_chunk_count, search.longest_prefix, search.prefiltered_counts, search.gated_positions)
+    small = [sorted(map(tuple, ask(t, p).collect())) for ask in asks]
+    assert small[1] == small[3] == sorted((i, j, c) for i, j, c, _ in brute(values, words) if c)
+    heads = {w[: 1 << len(w).bit_length() - 1] for w in words}
+    gated = {i: sum(v[k : k + len(h)] == h for h in heads for k in range(len(v))) for i, v in enumerate(values)}
+    assert small[4] == [(i, n) for i, n in gated.items() if n]
+    monkeypatch.setattr(forms, "BROADCAST_CHARS", 60)
+    monkeypatch.setattr(forms, "check", lambda patterns: None)  # slices of a hash are not of equal size
+    assert [sorted(map(tuple, ask(t, p).collect())) for ask in asks] == small
+    monkeypatch.undo()
+    monkeypatch.setattr(forms, "BROADCAST_CHARS", 60)
+    with pytest.raises(ValueError):
+        search.match_counts(t, p, form="automaton")
+
+
 def test_choice_of_form(spark, monkeypatch):
     assert forms.choose(patterns(spark, ["a" * 100])) == "automaton"
     monkeypatch.setattr(forms, "BROADCAST_CHARS", 50)

@@ -19,10 +19,12 @@ def test_text_files(spark, tmp_path):
 
 
 def test_reports_and_counts(spark, tmp_path):
-    results = spark.createDataFrame([("a\nb", 2, 3, 4), ("--", 1, 3, 3)], "t string, cnt int, maxlen_lo int, maxlen_hi int")
+    results = spark.createDataFrame([("a\nb", 2, 3, 4), ("--", 1, 3, 3), ("x\n---\ny", 1, 7, 9)], "t string, cnt int, maxlen_lo int, maxlen_hi int")
     readers.write_report(results.coalesce(1), str(tmp_path / "iter_7"))
     back = readers.read_report(spark, str(tmp_path / "iter_7"))
-    assert {r.t for r in back.collect()} == {"a\nb", "--"}
+    assert {tuple(r) for r in back.collect()} == {(7, *r) for r in results.collect()}
+    readers.write_strings(results, str(tmp_path / "strings"), "t")
+    assert {r.text for r in readers.read_strings(spark, str(tmp_path / "strings")).collect()} == {"a\nb", "--", "x\n---\ny"}
     readers.write_counts(spark.createDataFrame([(1, 5), (0, 9)], "pattern_id long, cnt long"), str(tmp_path / "counts"))
     assert [r.value for r in spark.read.text(str(tmp_path / "counts")).collect()] == ["9", "5"]
 
@@ -57,6 +59,19 @@ def test_matcher(spark):
     assert {tuple(r) for r in matcher.search(payloads).collect()} == {(0, 1, 2), (0, 4, 0), (0, 9, 1), (2, 4, 0)}
 
 
+def test_binary_payloads_places_and_totals(spark):
+    matcher = Matcher(spark).add_patterns(spark.createDataFrame([(1, "Ab", True, False), (2, "b", False, False), (3, "é", False, False), (4, "ab", True, True), (5, "zz", False, True)], "pattern_id long, pattern string, no_case boolean, negated boolean"))
+    rows = [(0, b"xaBab\xff"), (1, "éb".encode()), (2, None), (3, b"\x00\xc3")]
+    payloads = spark.createDataFrame(rows, "payload_id long, payload binary")
+    assert [tuple(r) for r in matcher.matches(payloads).collect()] == [(0, 1, 3), (0, 1, 5), (0, 2, 5), (1, 3, 2), (1, 2, 3)]
+    assert {tuple(r) for r in matcher.first_match(payloads).collect()} == {(0, 1, 3), (1, 3, 2)}
+    assert {tuple(r) for r in matcher.first_match(payloads, [2]).collect()} == {(0, 2, 5), (1, 2, 3)}
+    assert {tuple(r) for r in matcher.totals(payloads).collect()} == {(0, 3), (1, 2), (2, 0), (3, 0)}
+    assert {tuple(r) for r in matcher.search(payloads).collect()} == {(0, 1, 2), (0, 2, 1), (0, 5, 0), (1, 2, 1), (1, 3, 1), (1, 4, 0), (1, 5, 0), (2, 4, 0), (2, 5, 0), (3, 4, 0), (3, 5, 0)}
+    strings = spark.createDataFrame([(1, "éb")], "payload_id long, payload string")
+    assert {tuple(r) for r in matcher.matches(strings).collect()} == {(1, 3, 1), (1, 2, 2)}
+
+
 def test_stream(spark, tmp_path):
     matcher = Matcher(spark).add_patterns(spark.createDataFrame([(1, "ab")], "pattern_id long, pattern string")).prepare()
     spark.createDataFrame([(0, "abab"), (1, "x"), (2, "ab")], "payload_id long, payload string").repartition(3).write.parquet(str(tmp_path / "in"))
