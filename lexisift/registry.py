@@ -285,19 +285,29 @@ def stitch_runs(spark, sf_dir):
     return _runs(spark, sf_dir)[0].drop("p")
 
 
-@query(f"""WITH {SPLIT_SQL}
-    SELECT doc_id, first_chunk::INT AS first_chunk, core,
+GROWN_SQL = f"""{SPLIT_SQL}, grown AS (
+    SELECT doc_id, first_chunk::INT AS first_chunk, core, l, r,
            coalesce((SELECT max(k) FROM unnest(range(1, length(l) + 1)) AS u(k) WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, right(l, k) || core))), 0)::INT AS left_len,
            coalesce((SELECT max(k) FROM unnest(range(1, length(r) + 1)) AS u(k) WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, core || left(r, k)))), 0)::INT AS right_len
-    FROM split""")
+    FROM split)"""
+
+
+@query(f"WITH {GROWN_SQL} SELECT doc_id, first_chunk, core, left_len, right_len FROM grown")
 def extend_max(spark, sf_dir):
     runs, out = _runs(spark, sf_dir)
     return extract.extend(stash(extract.split_failed(extract.occurrences(runs, out, "core")), "runs-split"), out).select("doc_id", "first_chunk", "core", "left_len", "right_len")
 
 
-@query()
+def _total_sql(t: str) -> str:
+    return f"coalesce((SELECT sum({COUNT_SQL.format(t='d.text', p=t)}) FROM documents d WHERE contains(d.text, {t})), 0)::BIGINT"
+
+
+@query(f"""WITH {GROWN_SQL}, sides AS (SELECT doc_id, first_chunk, right(l, left_len) || core || left(r, right_len) AS b, CASE WHEN left_len >= right_len THEN right(l, left_len) || core ELSE core || left(r, right_len) END AS s FROM grown),
+    counted AS (SELECT *, {_total_sql('b')} AS bc, {_total_sql('s')} AS sc FROM sides),
+    found AS (SELECT doc_id, first_chunk, CASE WHEN bc > 0 THEN b ELSE s END AS t, CASE WHEN bc > 0 THEN bc ELSE sc END AS cnt, length(b) - CASE WHEN bc > 0 THEN 0 ELSE 1 END AS hi FROM counted)
+    SELECT doc_id, first_chunk, t, cnt, length(t)::INT AS maxlen_lo, hi::INT AS maxlen_hi FROM found WHERE hi >= 200""")
 def extraction(spark, sf_dir):
-    """The whole pipeline; its SQL would repeat all of the above, so tests hold it against brute force."""
+    """The whole pipeline: chunks, runs, extension to both sides, bounds."""
     return extract.extract(corpus(spark, sf_dir), texts(spark, sf_dir))
 
 
@@ -396,10 +406,10 @@ def range_patterns(spark, sf_dir):
     return readers.by_ranges(docs, docs.select("text_id", F.col("text_id").alias("pattern_id"), left.cast("int").alias("l"), (left + 29).cast("int").alias("r")))
 
 
-@query("SELECT doc_id FROM documents WHERE contains(translate(text, ';', chr(0)), chr(0))")
+@query("SELECT doc_id FROM documents WHERE contains(replace(text, e'\\n', chr(0)), chr(0))")
 def rows_with_nul(spark, sf_dir):
-    """Documents have no such character, so each semicolon becomes one first."""
-    return readers.rows_with_nul(table(spark, sf_dir, "documents").withColumn("text", F.translate("text", ";", "\0"))).select("doc_id")
+    """Documents have no such character, so each line feed becomes one first."""
+    return readers.rows_with_nul(table(spark, sf_dir, "documents").withColumn("text", F.translate("text", "\n", "\0"))).select("doc_id")
 
 
 @query("SELECT text FROM documents WHERE strlen(text) > 1")
