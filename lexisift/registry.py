@@ -409,7 +409,7 @@ def range_patterns(spark, sf_dir):
 @query("SELECT doc_id FROM documents WHERE contains(replace(text, e'\\n', chr(0)), chr(0))")
 def rows_with_nul(spark, sf_dir):
     """Documents have no such character, so each line feed becomes one first."""
-    return readers.rows_with_nul(table(spark, sf_dir, "documents").withColumn("text", F.translate("text", "\n", "\0"))).select("doc_id")
+    return readers.rows_with_nul(table(spark, sf_dir, "documents").withColumn("text", F.replace(F.col("text"), F.lit("\n"), F.lit("\0")))).select("doc_id")
 
 
 @query("SELECT text FROM documents WHERE strlen(text) > 1")
