@@ -58,10 +58,10 @@ def test_extraction(spark):
     got = extract.extract(c, o, size=6, least=8).collect()
     expected = slow_extract(corpus, outputs, 6, 8)
     assert {tuple(r) for r in got} == expected and expected
-    long = extract.long_runs(c, o, size=3, hits=2).collect()
+    long = extract.long_runs(c, o, size=8, hits=2).collect()
     expected = set()
     for doc_id, text in enumerate(corpus):
-        parts = [text[i : i + 3] for i in range(0, len(text), 3)]
+        parts = [text[i : i + 8] for i in range(0, len(text), 8)]
         hit = [any(p in o for o in outputs) for p in parts] + [False]
         begin = 0
         for k, h in enumerate(hit):
