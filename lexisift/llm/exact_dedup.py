@@ -63,10 +63,10 @@ def with_maybe(hashed: DataFrame, bitmaps: DataFrame, blocks: int) -> DataFrame:
     return joined.withColumn("maybe", F.coalesce(is_set, F.lit(False))).select(*hashed.columns, "maybe")
 
 
-def _winners(maybe: DataFrame) -> DataFrame:
-    """Of every repeated hash the id that stays (longest, then smallest id; null ids last), its size and the number of rows."""
+def _winners(maybe: DataFrame, least: int = 2) -> DataFrame:
+    """Of every hash of so many rows the id that stays (longest, then smallest id; null ids last), its size and the number of rows."""
     best = F.min(F.struct((-F.col("size")).alias("size"), F.col("id").isNull().alias("none"), F.col("id").alias("id")))
-    groups = maybe.groupBy("sha").agg(best.alias("best"), F.count("*").alias("number")).filter("number > 1")
+    groups = maybe.groupBy("sha").agg(best.alias("best"), F.count("*").alias("number")).filter(F.col("number") >= least)
     return groups.select(F.col("sha").alias("sha2"), F.col("best.id").alias("keep"), (-F.col("best.size")).alias("keep_size"), "number")
 
 
@@ -108,9 +108,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = stash(hashed.drop("row"), "exact-hashes")
     bitmaps, blocks = repeated_slots(narrow, narrow.count())
     bitmaps = stash(bitmaps, "exact-slots")
-    winners = stash(_winners(with_maybe(narrow, bitmaps, blocks).filter("maybe")), "exact-winners")
+    winners = stash(_winners(with_maybe(narrow, bitmaps, blocks).filter("maybe"), 1), "exact-winners")
     discard(narrow)
     tested = with_maybe(hashed, bitmaps, blocks)
-    best = F.col("number").isNull() | (F.col("id").eqNullSafe(F.col("keep")) & (F.col("size") == F.col("keep_size")))
-    kept = tested.filter("maybe").join(winners, F.col("sha") == F.col("sha2"), "left").filter(best).dropDuplicates(["sha"])
+    # dealt by id and size as well, so that a large group of copies is spread over tasks and only rows that stay meet by hash
+    best = (F.col("sha") == F.col("sha2")) & F.col("id").eqNullSafe(F.col("keep")) & (F.col("size") == F.col("keep_size"))
+    kept = tested.filter("maybe").join(winners, best, "left_semi").dropDuplicates(["sha"])
     return tested.filter("NOT maybe").select("row").unionByName(kept.select("row")).select("row.*")
