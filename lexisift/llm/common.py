@@ -90,12 +90,17 @@ def steps(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> It
         yield ids, texts.to_pylist()
 
 
-def map_texts(docs: DataFrame, step: Callable[..., dict], schema: str, names: list[str] | None = None, arrow: bool = False) -> DataFrame:
+def map_texts(
+    docs: DataFrame, step: Callable[..., dict], schema: str, names: list[str] | None = None, arrow: bool = False, text: Callable[[pa.Array], pa.Array] | None = None
+) -> DataFrame:
     """Applies step to (doc_id, text) in bounded steps; step returns the columns of schema. names: those of the
-    columns, where a type of the schema has commas; arrow: step takes texts as an Arrow array."""
+    columns, where a type of the schema has commas; arrow: step takes texts as an Arrow array; text: finds the texts in the
+    first column, where there is no second."""
     names = names or [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if text:
+            batches = (pa.RecordBatch.from_arrays([b.column(0), text(b.column(0))], names=["doc_id", "text"]) for b in batches)
         gc.disable()  # steps make no cycles, and the collector would visit their many strings again and again
         try:
             for ids, texts in slices(batches) if arrow else steps(batches):

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,14 +88,17 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     """Every row as a struct (if whole is asked for), doc_id, own_group, the contract's counts, base_failed and the statistics."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *STATS]
     key = F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s")))
-    # all that a row keeps travels in one column
-    plain = docs.select(F.struct((F.struct("*") if whole else F.lit(0)).alias("row"), F.col(id_col).alias("doc_id"), key.alias("own_group")).alias("k"), text_of(text_col).alias("text"))
+    # all that a row keeps travels in one column, and its text only there
+    inside = whole and dict(docs.dtypes).get(text_col) == "string"
+    k = F.struct((F.struct("*") if whole else F.lit(0)).alias("row"), F.col(id_col).alias("doc_id"), key.alias("own_group")).alias("k")
+    plain = docs.select(k) if inside else docs.select(k, text_of(text_col).alias("text"))
+    at = docs.columns.index(text_col) if inside else 0
 
     def step(keys: pa.Array, texts: list[str]) -> dict:
         return {"k": keys} | dict(zip(names, np.array([measures(x) for x in texts], np.int64).T, strict=True))
 
     schema = StructType([plain.schema["k"], *(StructField(n, LongType()) for n in names)])
-    out = map_texts(plain, step, schema, ["k", *names])
+    out = map_texts(plain, step, schema, ["k", *names], text=(lambda keys: pc.fill_null(keys.field("row").field(at), "")) if inside else None)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.select("k.row", "k.doc_id", "k.own_group", *names).withColumn("base_failed", failed)
 

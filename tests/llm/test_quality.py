@@ -169,6 +169,8 @@ def test_edges(spark):
     assert quality.judged(none).count() == quality.drop_rejected(none).count() == 0
     odd = spark.createDataFrame([(None, None, None, None), (1, "w " * 30, "en", "s"), (1, "w " * 30, "en", "s"), (2, " ".join(map(str, range(30))), None, "s")], "doc_id long, text string, lang string, source string")
     assert sorted((r.doc_id or -1, r.n_words, r.kept) for r in quality.judged(odd).collect()) == [(-1, 0, False), (1, 30, False), (1, 30, False), (2, 30, True)]
+    assert [r.doc_id for r in quality.drop_rejected(odd).collect()] == [2]
+    assert [r.doc_id for r in quality.drop_rejected(odd.withColumn("text", quality.F.col("text").cast("binary"))).collect()] == [2]
 
 
 def test_small_tables_and_groups_are_judged(spark):
