@@ -85,9 +85,3 @@ def rle_encode(text: Column) -> Column:
     """A text without digits as runs; the inverse of rle_runs and rle_decode."""
     found = F.regexp_extract_all(text, F.lit(r"((?s)(.)\2*)"), F.lit(1))
     return F.array_join(F.transform(found, lambda r: F.concat(F.length(r).cast("string"), F.left(r, F.lit(1)))), "")
-
-
-def overlapping_count(text: Column, pattern: Column) -> Column:
-    """Occurrences of pattern in text, overlaps included; 0 for the empty pattern."""
-    last = F.length(text) - F.length(pattern) + 1
-    return F.when((F.length(pattern) > 0) & (last >= 1), F.size(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.length(pattern)) == pattern))).otherwise(0).cast("long")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.functions import text as T
-from lexisift.operators import kernel, windows
+from lexisift.operators import blocks, kernel, windows
 from lexisift.plans import forms
 from lexisift.plans.storage import stash
 
@@ -23,8 +23,7 @@ def match_counts(texts: DataFrame, patterns: DataFrame, zeros: bool = True, form
     texts = texts.select(F.col("text_id").cast("long").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
     if form == "native":
         forms.check(patterns)
-        pairs = texts.join(F.broadcast(patterns.filter("pattern != ''")), F.col("text").contains(F.col("pattern")))
-        found = pairs.select("text_id", F.col("pattern_id").cast("long").alias("pattern_id"), T.overlapping_count(F.col("text"), F.col("pattern")).alias("cnt"), F.instr("text", F.col("pattern")).alias("first_pos"))
+        found = blocks.counts(texts, patterns)
     else:
         found = windows.matches(texts, patterns).groupBy("text_id", "pattern_id").agg(F.sum(F.size("places")).alias("cnt"), F.min(F.array_min("places")).alias("first_pos"))
     if not zeros:

@@ -2,7 +2,7 @@
 
 ``automaton``: the dictionary is broadcast and every text passes once through a multi-pattern automaton in Arrow batches.
 ``windows``: for dictionaries too large to broadcast; windows of the texts and keys of the patterns meet in a shuffled join.
-``native``: a broadcast join on contains(), without Python; for a handful of patterns.
+``native``: the dictionary is broadcast and blocks of the texts are looked up in it by hashes, without Python.
 """
 
 from __future__ import annotations

@@ -83,7 +83,7 @@ def first_position(spark, sf_dir):
 
 @query(f"WITH {SLICES_SQL} SELECT d.doc_id AS text_id, s.pattern_id, {COUNT_SQL.format(t='d.text', p='s.pattern')} AS cnt, strpos(d.text, s.pattern)::INT AS first_pos FROM slices s JOIN documents d ON contains(d.text, s.pattern)")
 def native_count(spark, sf_dir):
-    """The form without Python: a broadcast join on contains()."""
+    """The form without Python: blocks of the texts meet the patterns' stretches in a broadcast join."""
     return search.match_counts(texts(spark, sf_dir), slices(spark, sf_dir), zeros=False, form="native")
 
 

@@ -118,3 +118,17 @@ def test_functions(spark):
     assert [(c.off, c.len) for c in got[5]] == [(0, 8), (8, 2), (10, 1)]
     assert got[6] == "aaaaaaaabbbbc" and got[7] == "3a1b" and got[8] == ["Ab ", "é-C", ". "] and got[9] == ["Ab é-C."] and got[10] == "Ab é-C."
     assert row.select(T.chunks(F.lit(""), 3), T.token_chunks(F.lit(" ")), T.bit_floor(F.lit(0))).first()[:] == ([], [], 0)
+
+
+def test_native_form_looks_up_blocks(spark):
+    """Texts meet the patterns by hashes of blocks, not each text each pattern; places in text, lengths and repeats of every kind."""
+    rng = random.Random(2)
+    values = ["".join(rng.choices("abé😀", k=rng.randint(0, 300))) for _ in range(30)] + ["a" * 200, "x" + "ab" * 150, None, "", "a"]
+    words = ["".join(rng.choices("abé😀", k=rng.randint(1, 7))) for _ in range(30)] + [None, "", "a", "a", "aa", "a" * 31, "ab" * 40, "a" * 63, "a" * 64]
+    words += [v[k : k + n] for v in values[:30] for n in (1, 2, 3, 15, 16, 30, 31, 33, 63, 64, 100) if len(v) > n for k in (0, rng.randrange(len(v) - n), len(v) - n)]
+    t, p = texts(spark, values), patterns(spark, words)
+    found = search.match_counts(t, p, zeros=False, form="native")
+    assert sorted(map(tuple, found.collect())) == sorted(x for x in brute(values, words) if x[2])
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    twice = search.match_counts(t.union(t), p.union(p), zeros=False, form="native")
+    assert sorted(map(tuple, twice.collect())) == sorted([x for x in brute(values, words) if x[2]] * 4)
