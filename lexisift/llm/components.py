@@ -88,15 +88,15 @@ def components(links: DataFrame) -> DataFrame:
     longest path; after each, the links are written to the shared folder.
     """
     start = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    now = stash(start, "links")
+    now = stash(start, "links", few=True)
     state = None
     while True:
         found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if found == state:
             break
         state = found
-        large = stash(_large_star(now), "links")
-        small = stash(_small_star(large), "links")
+        large = stash(_large_star(now), "links", few=True)
+        small = stash(_small_star(large), "links", few=True)
         discard(now, large)
         now = small
     # every link now goes from a node to the least of its component

@@ -83,7 +83,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bitmaps = stash(bitmaps, "exact-slots")
     tested = with_maybe(narrow, bitmaps, blocks)
     maybe = tested.filter("maybe")
-    winners = stash(_winners(maybe), "exact-winners")
+    winners = stash(_winners(maybe), "exact-winners", few=True)
     joined = maybe.join(winners, F.col("sha") == F.col("sha2"), "left").select("id", "sha", "keep", "number")
     kind = dict(narrow.dtypes)["id"]
     alone = tested.filter("NOT maybe").select("id", "sha", F.lit(None).cast(kind).alias("keep"), F.lit(None).cast("long").alias("number"))
@@ -108,7 +108,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = stash(hashed.drop("row"), "exact-hashes")
     bitmaps, blocks = repeated_slots(narrow, narrow.count())
     bitmaps = stash(bitmaps, "exact-slots")
-    winners = stash(_winners(with_maybe(narrow, bitmaps, blocks).filter("maybe"), 1), "exact-winners")
+    winners = stash(_winners(with_maybe(narrow, bitmaps, blocks).filter("maybe"), 1), "exact-winners", few=True)
     discard(narrow)
     tested = with_maybe(hashed, bitmaps, blocks)
     # dealt by id and size as well, so that a large group of copies is spread over tasks and only rows that stay meet by hash

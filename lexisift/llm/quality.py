@@ -193,14 +193,14 @@ def estimate(rows: DataFrame) -> DataFrame:
     products = [F.lit(1).cast("long"), *map(F.col, STATS), *(F.col(STATS[i]) * F.col(STATS[j]) for i, j in PAIRS)]
     single = rows.select("gids", *[F.floor(F.col(q) / CELL).alias(p) for q, p in zip(STATS, PLACES, strict=True)], *[c.alias(n) for c, n in zip(products, SUM_NAMES, strict=True)])
     own = single.groupBy("gids", *PLACES).agg(*[F.sum(c).alias(c) for c in SUM_NAMES])
-    cells = stash(_combined(own.select(F.explode("gids").alias("gid"), *PLACES, *SUM_NAMES)), "quality-cells")
+    cells = stash(_combined(own.select(F.explode("gids").alias("gid"), *PLACES, *SUM_NAMES)), "quality-cells", few=True)
     while True:
         wide = cells.groupBy("gid").agg(F.count("*").alias("cells")).filter(F.col("cells") > MAX_CELLS).select("gid")
         if wide.isEmpty():
             break
-        wide = stash(wide, "quality-wide")
+        wide = stash(wide, "quality-wide", few=True)
         doubled = cells.join(wide, "gid", "left_semi").withColumns({p: F.floor(F.col(p) / 2) for p in PLACES})
-        old, cells = cells, stash(cells.join(wide, "gid", "left_anti").unionByName(_combined(doubled)), "quality-cells")
+        old, cells = cells, stash(cells.join(wide, "gid", "left_anti").unionByName(_combined(doubled)), "quality-cells", few=True)
         discard(old, wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def estimate(rows: DataFrame) -> DataFrame:
             sums = np.stack([table[c].to_numpy() for c in SUM_NAMES], axis=1) * scale
             yield _batch([(int(gid[a]), int(sums[a:b, 0].sum()), *determinant_estimate(sums[a:b])) for a, b in zip(begins[:-1], begins[1:], strict=True)])
 
-    found = stash(cells.repartition("gid").sortWithinPartitions("gid", *PLACES).mapInArrow(run, ESTIMATE), "quality-estimates")
+    found = stash(cells.repartition("gid").sortWithinPartitions("gid", *PLACES).mapInArrow(run, ESTIMATE), "quality-estimates", few=True)
     discard(cells)
     return found
 
@@ -254,7 +254,7 @@ def group_estimates(passed: DataFrame) -> DataFrame:
             if mixed := [_shrunk(r) for r in batch.to_pylist()]:
                 yield _batch(mixed)
 
-    out = stash(rows.select("own", "language", "whole").mapInArrow(run, ESTIMATE), "quality-shrunk")
+    out = stash(rows.select("own", "language", "whole").mapInArrow(run, ESTIMATE), "quality-shrunk", few=True)
     discard(found)
     return out
 

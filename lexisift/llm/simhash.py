@@ -128,4 +128,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DIST
         marked = stash(fingerprints(rows, shingle), "simhash-fingerprints")
         joined = marked.join(classes(marked, "doc_id", distance), F.col("fp") == F.col("fp2"))
         gone = joined.filter("doc_id != component_id").select(F.col("doc_id").alias("key")).distinct()
-    return without(docs, stash(gone, "near-gone"), id_col, text_col)
+    return without(docs, stash(gone, "near-gone", few=True), id_col, text_col)

@@ -178,11 +178,11 @@ def repeated_windows(docs: DataFrame, window: int, shard_rows: int = SHARD_ROWS)
     kind = dict(docs.dtypes)["doc_id"]
     rows = stash(segments(docs.filter("doc_id IS NOT NULL"), window), "segments")
     same = ["key", "h1", "h2", "n"]
-    distinct = stash(rows.groupBy(same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "segments-distinct")
+    distinct = stash(rows.groupBy(same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "segments-distinct", few=True)
     keys = distinct.groupBy("key").agg(F.count("*").alias("others"), F.min("first").alias("f"), F.max("last").alias("l")).filter("others > 1 AND f < l").select("key", "others")
-    asked = stash(distinct.join(keys, "key", "left").filter("last > first OR others > 1").drop("last"), "segments-asked")
+    asked = stash(distinct.join(keys, "key", "left").filter("last > first OR others > 1").drop("last"), "segments-asked", few=True)
     discard(distinct)
-    found = stash(rows.join(asked, same).select("doc_id", "rk", "key", "at", "n", "others", (F.col("doc_id") > F.col("first")).alias("later")).filter("later OR others > 1"), "segments-found")
+    found = stash(rows.join(asked, same).select("doc_id", "rk", "key", "at", "n", "others", (F.col("doc_id") > F.col("first")).alias("later")).filter("later OR others > 1"), "segments-found", few=True)
     discard(rows, asked)
     whole = found.filter("later").select("doc_id", "rk", "at", "n")
 
@@ -212,7 +212,7 @@ def repeated_windows(docs: DataFrame, window: int, shard_rows: int = SHARD_ROWS)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_id, batch.column(0).type), pa.array(rk, pa.int64()), pa.array(key, pa.int64()), pa.array(more, pa.int64()), pa.array(at, pa.int32()), pa.array(words, pa.binary())], names=["doc_id", "rk", "key", "more", "at", "words"])
 
     parts = stash(with_text.mapInArrow(read, f"doc_id {kind}, rk bigint, key bigint, more bigint, at int, words binary"), "segments-words")
-    common = stash(parts.groupBy("key", "more").agg(F.count("*").alias("others")).filter(F.col("others") > shard_rows).drop("others"), "keys-common")
+    common = stash(parts.groupBy("key", "more").agg(F.count("*").alias("others")).filter(F.col("others") > shard_rows).drop("others"), "keys-common", few=True)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begins in whole_groups(batches, ["key", "more"]):
@@ -247,7 +247,7 @@ def repeated_windows(docs: DataFrame, window: int, shard_rows: int = SHARD_ROWS)
     shards = parts.join(common, ["key", "more"], "left_anti").select("key", "more", "doc_id", "rk", "at", "words")
     matched = shards.repartition("key", "more").sortWithinPartitions("key", "more", "doc_id", "rk", "at").mapInArrow(match, f"doc_id {kind}, rk bigint, at int, n int")
     spread = stash(parts.join(common, ["key", "more"], "left_semi").select("doc_id", "rk", "at", "words").mapInArrow(windows, f"doc_id {kind}, rk bigint, at int, h1 bigint, h2 bigint"), "windows")
-    firsts = stash(spread.groupBy("h1", "h2").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l")).filter("f < l").drop("l"), "windows-first")
+    firsts = stash(spread.groupBy("h1", "h2").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l")).filter("f < l").drop("l"), "windows-first", few=True)
     spread = spread.join(firsts, ["h1", "h2"]).filter("doc_id > f").select("doc_id", "rk", "at", F.lit(1).alias("n"))
     return whole.union(matched).union(spread)
 

@@ -92,3 +92,31 @@ def test_edges(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(llm_data.frame(spark, pdf), shingle=5, similarity=0.8).collect()} == {i for i, c in expected.items() if i == c}
     assert all(len(similar.shingles(t or "")) == len(slow_set(t)) for t in pdf.text)
     assert np.array_equal(similar.shingles(""), similar.shingles(" \n"))
+
+
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """Links and other tables of ids are written by a few tasks a core, however many partitions a shuffle has; none is lost."""
+    from pathlib import Path
+
+    from lexisift.llm import components
+    from lexisift.plans import storage
+
+    most, files = storage.FILES_A_CORE * spark.sparkContext.defaultParallelism, []
+
+    def stash(df, tag, **named):
+        out = storage.stash(df, tag, **named)
+        files.append(len(list(Path(out.stash_path.removeprefix("file://")).glob("part-*"))))
+        return out
+
+    monkeypatch.setattr(components, "stash", stash)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(4 * most))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = spark.range(3000).selectExpr("id + id div 10 AS a", "id + id div 10 + 1 AS b")  # 300 chains of 11 nodes
+        got = components.components(links).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(n, n - n % 11) for n in range(3300)]
+    assert len(files) > 4 and max(files) <= most
